@@ -1,9 +1,24 @@
 """Queries of this subpackage and their SQL."""
 
+from . import mixing, topk
+from .chat import op8_chat
 from .decontaminate import op1_decontaminate
+from .mixing import op5_mix_sources
 from .neardup import op6_simhash
+from .pii import op10_personal_data
+from .quality import op2_quality
 from .tokens import op7_token_output
+from .topk import op9_top_k
+from .toxicity import op3_toxicity
+from .urls import op4_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op6_simhash, op7_token_output)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_quality, op3_toxicity, op4_url_filter, op5_mix_sources,
+        op6_simhash, op7_token_output, op8_chat, op9_top_k, op10_personal_data,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Queries that SQL can express; op9's joins every query with every vector, so it suits tables of the test sizes.
+ORACLE_SQL = {"op5_mix_sources": mixing.ORACLE, "op9_top_k": topk.ORACLE}
