@@ -25,7 +25,7 @@ def parse(messages: DataFrame) -> DataFrame:
     # A header such as "X wrote:" belongs to the quote that follows it.
     head = "x.level = 0 and coalesce(get(lines, i + 1).level, 0) > 0 and rtrim(x.text) rlike '(?i)wrote:$'"
     df = df.withColumn("lines", F.expr(f"transform(lines, (x, i) -> struct(if({head}, -1, x.level) as level, x.text as text))"))
-    own = "trim(regexp_replace(array_join(transform(filter(lines, x -> x.level = 0), x -> x.text), '\\n'), '\\n{3,}', '\\n\\n'))"
+    own = r"regexp_replace(regexp_replace(array_join(transform(filter(lines, x -> x.level = 0), x -> x.text), '\n'), '\\n{3,}', '\n\n'), '^\\s+|\\s+$', '')"
     return df.withColumn("own", F.expr(own)).select("conv_id", "turn", "role", "lines", "own")
 
 

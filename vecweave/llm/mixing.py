@@ -27,9 +27,8 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha
     else:
         given = docs.sparkSession.createDataFrame(list(weights.items()), "name string, w double")
         n = n.join(given, F.expr("source <=> name"), "left").drop("name").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    sums = n.agg(F.sum("w").alias("sum_w"), F.sum("n").alias("sum_n"))
-    # One row of sums joins every source; there are as many rows as sources.
-    n = n.join(F.broadcast(sums)).withColumn("rate", F.lit(total) * F.col("w") / F.col("sum_w") / F.col("n") if total is not None else F.col("sum_n") * F.col("w") / F.col("sum_w") / F.col("n"))
+    all_w, all_n = n.agg(F.sum("w")).scalar(), n.agg(F.sum("n")).scalar() if total is None else F.lit(float(total))
+    n = n.withColumn("rate", all_n * F.col("w") / all_w / F.col("n"))
     n = n.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / piece)).cast("int")).withColumn("part", F.col("rate") / F.col("pieces"))
     step = "struct(s.t * part / k as t, concat(s.c, array(element_at(s.c, -1) + s.t * part / k)) as c)"
     cdf = f"aggregate(sequence(1, {TERMS}), struct(exp(-part) as t, array(exp(-part)) as c), (s, k) -> {step}, s -> s.c)"
@@ -44,14 +43,15 @@ def replicate(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """
     spark = docs.sparkSession
     own = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
-    per = small_side(rates(docs, **options).select(F.col("source").alias("_source"), F.col("pieces").alias("_pieces"), F.col("cdf").alias("_cdf")))
-    held = docs.select(*own).join(per, F.expr("source <=> _source"))
-    draw = f"transform(sequence(1, _pieces), j -> cast(conv(substr(md5(concat_ws(':', '{seed}', coalesce(cast(doc_id as string), 'null'), cast(j as string))), 1, 13), 16, 10) as bigint) / 4503599627370496.0D)"
-    held = held.withColumn("_u", F.expr(draw))
-    held = held.withColumn("_n", F.expr("aggregate(_u, 0, (a, u) -> a + size(filter(_cdf, c -> c <= u)))"))
-    copies = held.where("_n > 0").select(*own, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    copies = copies.withColumn("mix_key", F.substring(key, 1, 16))
+    per = small_side(rates(docs, **options).select(F.col("source").alias("name"), "pieces", "cdf"))
+    # Whole rows travel in one column, so that no name of theirs meets one of ours.
+    held = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "source").join(per, F.expr("source <=> name"))
+    draw = f"transform(sequence(1, pieces), j -> cast(conv(substr(md5(concat_ws(':', '{seed}', id, cast(j as string))), 1, 13), 16, 10) as bigint) / 4503599627370496.0D)"
+    held = held.withColumn("u", F.expr(draw))
+    held = held.withColumn("copies", F.expr("aggregate(u, 0, (a, x) -> a + size(filter(cdf, c -> c <= x)))"))
+    copies = held.where("copies > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "id", F.col("copy").cast("string")))
+    copies = copies.withColumn("mix_key", F.substring(key, 1, 16)).select("row.*", "copy", "mix_key")
     # The key is uniform, so its leading digits deal the rows evenly and in order, without a sampling pass.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = (F.conv(F.substring("mix_key", 1, 6), 16, 10).cast("long") * n / F.lit(1 << 24)).cast("int")

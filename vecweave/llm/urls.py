@@ -20,24 +20,16 @@ RULES = [
     ("allow", "com", "/fr/"), ("block", "com", "/de/"),
 ]
 
-#: Training rows written for this operator: 1 means block.
-LABELLED = [
-    *((u, 1) for u in (
-        "http://casino-win.example.net/play/1", "https://www.casino-bonus.test/slots", "http://blog.casino-royal.test/en/22", "https://best-poker.test/win/now",
-        "http://bet-online.test/bonus?id=3", "http://m.lucky-jackpot.test/free/spins", "https://free-pills.test/buy/cheap", "http://cheap-viagra.test/order/22",
-        "https://buy-pharma.test/pills.html", "http://xxx-cams.test/live/9", "https://adult-video.test/xxx/12", "http://hot-porn.test/watch/8", "https://sexy-dating.test/join",
-        "http://win-prize.test/claim/now", "http://claim-free-iphone.test/win/1", "https://crypto-double.test/invest/now", "http://fast-loan.test/payday/apply",
-        "https://payday-cash.test/loan/1", "http://replica-watch.test/shop/cheap", "http://torrent-crack.test/download/keygen", "https://warez-crack.test/serial/1",
-        "http://spin-win.test/casino/2", "https://poker-casino.test/de/7", "http://m.casino-win.test/fr/11", "https://slots-jackpot.test/en/4", "http://lottery-winner.test/es/3",
-    )),
-    *((u, 0) for u in (
-        "http://news.example.net/en/1200", "https://www.example.net/fr/17014.html", "http://blog.garden.test/en/3633", "https://library.test/catalog/book/12", "http://m.weather.test/de/today",
-        "https://school.test/courses/math", "http://museum.test/es/visit", "https://docs.software.test/guide/install.html", "http://wiki.test/en/History_of_paper", "https://recipes.test/soup/12",
-        "http://city.test/de/25549", "https://travel.test/fr/paris/1", "http://blog.science.test/en/25156/", "https://journal.test/article/20915", "http://forum.test/thread/443?page=2",
-        "https://health.test/topics/sleep", "http://sport.test/en/results/37677/", "https://music.test/es/49368/", "http://history.test/en/39998/", "https://art.test/de/14835.html",
-        "http://teachers.test/lesson/8", "https://m.radio.test/fr/1219/", "http://books.test/en/32934", "https://maps.test/es/36279", "http://theory.test/en/13712", "https://nature.test/fr/20345.html",
-    )),
-]
+#: Words that addresses to block and to allow are about, and shapes of addresses; the labelled table is their product.
+BLOCKED = "casino poker jackpot slots betting lottery roulette viagra pills pharma xxx porn adult cams dating loan payday crack warez keygen torrent replica prize bonus".split()
+ALLOWED = "news library museum school weather garden science history recipes travel journal forum health sport music books nature theory city wiki teacher radio maps docs".split()
+SHAPES = ("http://{w}.test/en/1", "https://www.{w}-win.test/{w}/12.html", "http://blog.{w}.example.test/de/345?page=2", "https://m.example.test/{w}/now/77", "http://my{w}s.test/fr/2020/top", "https://example.test/es/{w}-1/")
+
+
+def labelled_table(shapes: tuple[str, ...] = SHAPES) -> list[tuple[str, int]]:
+    """(url, 1 to block or 0 to allow); a shape that says win says it of both."""
+    return [(s.format(w=w), y) for y, words in ((1, BLOCKED), (0, ALLOWED)) for w in words for s in shapes]
+
 
 BITS, SIZES, BLOCK_AT = 16, (3, 4, 5), 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,13 +90,13 @@ def train(texts: list[str], labels: list[int], rounds: int = 400, rate: float =
     return w, b
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: list[tuple[str, int]] = LABELLED, block_at: float = BLOCK_AT) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, labelled: list[tuple[str, int]] | None = None, block_at: float = BLOCK_AT) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each row of ``pages``.
 
     Null urls and those without :// have empty host and path, fit no rule and are judged by the model. Repeated rows
     are judged each. An empty table gives an empty result.
     """
-    given = pages.sparkSession.createDataFrame(labelled, "url string, y int")
+    given = pages.sparkSession.createDataFrame(labelled_table() if labelled is None else labelled, "url string, y int")
     host, path = parts(F.col("url"))
     rows = given.select(keyed(host, path).alias("x"), "y").collect()
     weights, bias = train([r.x for r in rows], [r.y for r in rows])
