@@ -245,6 +245,13 @@ def test_chat(spark):
     assert got[1, 0] == ("Hello there\nhow are you?", 0, None, 0, 0) and got[1, 1] == ("Fine.", 1, 0, 0, 1)
     assert got[1, 2] == ("Good to hear.", 2, 1, 0, 2) and got[1, 3][2:] == (None, 3, 0) and got[1, 4] == ("What?", 1, None, 4, 0)
     assert got[1, 5] == ("last", 2, 2, 0, 3) and got[2, 0][2:] == (None, 0, 0) and got[3, 0][0] == "" and len(got) == 10
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame([x for x in m if None not in x[:2]], columns=["conv_id", "turn", "role", "text"]))
+    sql = {(a, b): (e, f, g, h, i) for a, b, _, e, f, g, h, i in con.sql(chat.ORACLE).fetchall()}
+    assert sql == {k: v for k, v in got.items() if None not in k}
     rows = chat.link(spark.createDataFrame(m, "conv_id long, turn long, role string, text string")).where("conv_id = 1").collect()
     at = {r.turn: k for k, r in enumerate(rows)}
     assert all(at[r.parent_turn] < k for k, r in enumerate(rows) if r.parent_turn is not None) and len(rows) == 7

@@ -86,4 +86,24 @@ def _threads(parents: DataFrame) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without quotes, with its parent and thread."""
-    return link(table(spark, sf_dir, "conversations"))
+    return link(table(spark, sf_dir, "conversations")).withColumns({c: F.col(c).cast("long") for c in ("quote_level", "depth")})
+
+
+_SQL_PLAIN = r"trim(regexp_replace(lower({}), '\s+', ' ', 'g'))"
+ORACLE = rf"""
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER () rid, conv_id, turn, role, replace(coalesce(text, ''), chr(13) || chr(10), chr(10)) x FROM conversations),
+l AS (SELECT rid, conv_id, turn, unnest(range(1, len(string_split(x, chr(10))) + 1)) i, unnest(string_split(x, chr(10))) raw FROM m),
+v AS (SELECT *, regexp_extract(raw, '^[ \t]*>[> \t]*') q, regexp_replace(raw, '^[ \t]*>[> \t]*', '') t FROM l),
+w AS (SELECT *, len(q) - len(replace(q, '>', '')) lv FROM v),
+g AS MATERIALIZED (SELECT rid, conv_id, turn, i, t, CAST(CASE WHEN lv = 0 AND coalesce(lead(lv) OVER (PARTITION BY rid ORDER BY i), 0) > 0 AND regexp_matches(rtrim(t), '(?i)wrote:$') THEN -1 ELSE lv END AS BIGINT) lv FROM w),
+own AS MATERIALIZED (SELECT rid, conv_id, turn, coalesce(regexp_replace(regexp_replace(string_agg(t, chr(10) ORDER BY i) FILTER (lv = 0), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g'), '') own, greatest(0, max(lv)) ql FROM g GROUP BY ALL),
+r AS (SELECT *, sum(CAST(moved AS INTEGER)) OVER (PARTITION BY rid ORDER BY i) run FROM (SELECT *, lv IS DISTINCT FROM lag(lv) OVER (PARTITION BY rid ORDER BY i) moved FROM g)),
+u AS (SELECT DISTINCT conv_id, turn, lv, {_SQL_PLAIN.format("t")} h FROM (
+  SELECT conv_id, turn, lv, t FROM g WHERE lv > 0 UNION ALL SELECT conv_id, turn, lv, string_agg(t, chr(10) ORDER BY i) FROM r WHERE lv > 0 GROUP BY rid, conv_id, turn, lv, run)),
+o AS (SELECT conv_id, {_SQL_PLAIN.format("t")} h, min(turn) first FROM (SELECT conv_id, turn, own t FROM own UNION ALL SELECT conv_id, turn, t FROM g WHERE lv = 0) GROUP BY ALL),
+p AS MATERIALIZED (SELECT u.conv_id, u.turn, arg_min(first, (lv, -first)) parent FROM u JOIN o ON o.conv_id = u.conv_id AND o.h = u.h WHERE u.h <> '' AND first < u.turn GROUP BY ALL),
+c(conv_id, turn, root, depth) AS (SELECT conv_id, turn, parent, 1 FROM p UNION ALL SELECT c.conv_id, c.turn, p.parent, c.depth + 1 FROM c JOIN p ON p.conv_id = c.conv_id AND p.turn = c.root),
+z AS (SELECT conv_id, turn, arg_max(root, depth) root, max(depth) depth FROM c GROUP BY ALL)
+SELECT own.conv_id, own.turn, m.role, own.own AS text, CAST(ql AS BIGINT) AS quote_level, CAST(p.parent AS BIGINT) AS parent_turn, coalesce(z.root, own.turn) AS root_turn, CAST(coalesce(z.depth, 0) AS BIGINT) AS depth
+FROM own JOIN m ON m.rid = own.rid LEFT JOIN p ON p.conv_id = own.conv_id AND p.turn = own.turn LEFT JOIN z ON z.conv_id = own.conv_id AND z.turn = own.turn
+"""

@@ -175,3 +175,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of benchmark windows in every document."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_SQL_WORDS} w FROM documents),
+i AS (SELECT item_id, {_SQL_WORDS} w FROM benchmark),
+iw AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') win
+  FROM (SELECT item_id, w, least({WINDOW}, len(w)) n, unnest(range(1, len(w) - least({WINDOW}, len(w)) + 2)) k FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, k, array_to_string(w[k : k + n - 1], ' ') win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) k FROM d, (SELECT DISTINCT n FROM iw))),
+h AS MATERIALIZED (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.win = iw.win),
+p AS (SELECT doc_id, count(DISTINCT q) hit FROM (SELECT doc_id, unnest(range(k, k + n)) q FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') s FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit, 0) AS n_hit, coalesce(items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN p ON p.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""

@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import mixing, topk
+from . import chat, decontaminate, mixing, topk
 from .chat import op8_chat
 from .decontaminate import op1_decontaminate
 from .mixing import op5_mix_sources
@@ -21,4 +21,4 @@ QUERIES = {
 }
 
 #: Queries that SQL can express; op9's joins every query with every vector, so it suits tables of the test sizes.
-ORACLE_SQL = {"op5_mix_sources": mixing.ORACLE, "op9_top_k": topk.ORACLE}
+ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE, "op8_chat": chat.ORACLE, "op5_mix_sources": mixing.ORACLE, "op9_top_k": topk.ORACLE}
