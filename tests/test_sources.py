@@ -58,6 +58,7 @@ def test_vectors(spark, tmp_path):
     index = vectors.write_vectors(df, str(tmp_path / "v"))
     got = vectors.read_vectors(spark, index, 6).orderBy("id").collect()
     assert [r.vec for r in got] == x.tolist()
+    assert [c[1:3] for c in vectors.chunks(vectors.write_vectors(df, str(tmp_path / "w"), 4))] == [(0, 4), (4, 2)]
     with pytest.raises(ValueError):
         vectors.read_vectors(spark, index, 7)
     (tmp_path / "one.bin").write_bytes(struct.pack("<ii", 6, 2) + x.tobytes())

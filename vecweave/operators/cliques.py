@@ -37,9 +37,11 @@ def _in_batches(found: Iterator[tuple[list[int], int]], rows: int = 20_000) -> I
         yield _out(held)
 
 
-def neighbourhoods(sims: DataFrame) -> DataFrame:
+def neighbourhoods(sims: DataFrame, tau_q: int | None = None) -> DataFrame:
     """(id, nbrs, links) for each vertex: its neighbours (nbr, sim_q, first) and the links (x, y, sim_q) among them.
 
+    With ``tau_q`` only for vertices that a pair reaching it starts from, so that no other neighbourhood is gathered.
+
     Vertices are ordered by (degree, id); ``first`` tells that the neighbour comes before the vertex. Each triangle is
     formed once, at its first vertex, and sent to the three vertices.
     """
@@ -51,9 +53,11 @@ def neighbourhoods(sims: DataFrame) -> DataFrame:
         F.struct(F.col("b").alias("id"), F.struct(F.col("a").alias("x"), F.col("c").alias("y"), F.col("ac").alias("s")).alias("l")),
         F.struct(F.col("c").alias("id"), F.struct(F.col("a").alias("x"), F.col("b").alias("y"), F.col("ab").alias("s")).alias("l")),
     )
-    links = tri.select(F.explode(sides).alias("e")).select("e.*").groupBy("id").agg(F.collect_list("l").alias("links"))
+    roots = None if tau_q is None else o.where(F.col("sim_q") >= tau_q).select(F.col("a").alias("id")).distinct()
+    rooted = lambda df: df if roots is None else df.join(roots, "id", "left_semi")
+    links = rooted(tri.select(F.explode(sides).alias("e")).select("e.*")).groupBy("id").agg(F.collect_list("l").alias("links"))
     ends = F.array(F.struct(F.col("a").alias("id"), F.struct(F.col("b").alias("nbr"), "sim_q", F.lit(False).alias("first")).alias("n")), F.struct(F.col("b").alias("id"), F.struct(F.col("a").alias("nbr"), "sim_q", F.lit(True).alias("first")).alias("n")))
-    nbrs = o.select(F.explode(ends).alias("e")).select("e.*").groupBy("id").agg(F.collect_list("n").alias("nbrs"))
+    nbrs = rooted(o.select(F.explode(ends).alias("e")).select("e.*")).groupBy("id").agg(F.collect_list("n").alias("nbrs"))
     return nbrs.join(links, "id", "left").select("id", "nbrs", "links")
 
 
@@ -80,7 +84,7 @@ def _local(row_id: int, nbrs: list[dict], links: list[dict] | None) -> tuple[lis
     return names, adj, w, later, earlier
 
 
-def _over_neighbourhoods(sims: DataFrame, solve) -> DataFrame:
+def _over_neighbourhoods(sims: DataFrame, solve, tau_q: int | None = None) -> DataFrame:
     """Apply ``solve(names, adj, w, later, earlier)`` to every vertex, costly ones dealt apart from each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +98,7 @@ def _over_neighbourhoods(sims: DataFrame, solve) -> DataFrame:
         yield from _in_batches(each())
 
     n = 4 * sims.sparkSession.sparkContext.defaultParallelism
-    dealt = neighbourhoods(sims).repartition(n, "id")
+    dealt = neighbourhoods(sims, tau_q).repartition(n, "id")
     return dealt.mapInArrow(run, CLIQUE)
 
 
@@ -230,7 +234,7 @@ def msc(sims: DataFrame, tau_q: int, algorithm: str = "auto", budget: int = K.BU
         roots = [(0, v) for v in K.bits(later) if w[0][v] >= tau_q]
         yield from K.canonical(adj, w, names, roots, tau_q, steps=steps) if algorithm == "canonical" else K.visited(adj, w, roots, tau_q, steps)
 
-    found = sized(_over_neighbourhoods(sims, solve))
+    found = sized(_over_neighbourhoods(sims, solve, None if algorithm == "sem_bk" else tau_q))
     return found if algorithm == "sem_bk" else maximal_only(found)
 
 
@@ -253,7 +257,7 @@ def search_counters(sims: DataFrame, tau_q: int) -> DataFrame:
                     pass
         yield pa.RecordBatch.from_pydict({k: [total[k]] for k in keys})
 
-    rows = neighbourhoods(sims).mapInArrow(run, ", ".join(f"{k} long" for k in keys))
+    rows = neighbourhoods(sims, tau_q).mapInArrow(run, ", ".join(f"{k} long" for k in keys))
     return rows.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in keys))
 
 

@@ -34,12 +34,12 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     pick = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
-    pairs = lambda a, b, kind: F.map_from_entries(F.transform(F.arrays_zip(a.alias("k"), b.alias("v")), lambda x: F.struct(x["k"], x["v"].cast(kind))))
+    pairs = lambda a, b, key, kind: F.map_from_entries(F.transform(F.arrays_zip(a.alias("k"), b.alias("v")), lambda x: F.struct(x["k"].cast(key), x["v"].cast(kind))))
     size, stat = r"(?m)^\s*size\s+(\d+)\s*:\s*(\d+)", r"(?m)^\s*STAT\s+(\w+)=([-+0-9.eE]+)"
     every = lambda p, g: F.regexp_extract_all("value", F.lit(p), F.lit(g))
     return whole.select(
         "path", pick(r"(?m)^TOTAL:?\s+(\d+)").cast("long").alias("results"), pick(r"(?m)^TOTAL.*?([0-9.]+)\s*ms").cast("double").alias("total_ms"),
-        pick(r"(?i)peak memory:?\s*([0-9.]+)\s*GiB").cast("double").alias("peak_gib"), pairs(every(size, 1), every(size, 2), "long").alias("histogram"), pairs(every(stat, 1), every(stat, 2), "double").alias("stats"),
+        pick(r"(?i)peak memory:?\s*([0-9.]+)\s*GiB").cast("double").alias("peak_gib"), pairs(every(size, 1), every(size, 2), "int", "long").alias("histogram"), pairs(every(stat, 1), every(stat, 2), "string", "double").alias("stats"),
     )
 
 

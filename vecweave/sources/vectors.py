@@ -165,10 +165,18 @@ def read_vectors(spark: SparkSession, path: str, vertices: int | None = None) ->
     return spark.read.format("vecbin").load(path)
 
 
-def write_vectors(vectors: DataFrame, path: str) -> str:
-    """Write (id, vec) in the order of id, ids being 0 .. V - 1; returns the index's path."""
+def write_vectors(vectors: DataFrame, path: str, rows: int | None = None) -> str:
+    """Write (id, vec) in the order of id, ids being 0 .. V - 1; returns the index's path.
+
+    With ``rows`` each chunk holds so many vectors, the last one fewer; else chunks follow the size of the data.
+    """
     vectors.sparkSession.dataSource.register(VectorSource)
-    vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).repartitionByRange("id").sortWithinPartitions("id").write.format("vecbin").mode("append").save(path)
+    own = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    if rows is None:
+        dealt = own.repartitionByRange("id")
+    else:
+        dealt = own.repartitionById(max(1, -(-own.count() // rows)), F.expr(f"cast(id div {rows} as int)"))
+    dealt.sortWithinPartitions("id").write.format("vecbin").mode("append").save(path)
     return f"{path}/vectors.index"
 
 
