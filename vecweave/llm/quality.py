@@ -37,7 +37,7 @@ class Traits(dict):
 
     def __missing__(self, w: str) -> tuple[bool, bool, bool]:
         out = (w.lower().strip(".,;:!?") in COMMON, len(w) > 1 and w.isupper(), w in ("|", "||", "-", "*", "•"))
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         if len(w) <= 40:
             self[w] = out
@@ -113,13 +113,33 @@ def label_model(patterns: dict[str, int], rounds: int = 200) -> tuple[dict[str,
     return dict(zip(names, q.tolist(), strict=True)), {k: (float(a), float(b)) for k, a, b in zip(LABELLERS, good, bad, strict=False)}
 
 
+class Shape(dict):
+    """Translation of characters to A, a, 9 or themselves."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = out = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return out
+
+
+class Named(dict):
+    """Hashed dimensions of shapes and endings, which are few."""
+
+    def __missing__(self, name: str) -> int:
+        out = xxhash.xxh64_intdigest(name) % DIMS
+        if len(self) < 100_000:
+            self[name] = out
+        return out
+
+
 class Dims(dict):
     """Hashed dimensions of a word's shape and of its ending; remembered up to a bound."""
 
+    shape, named, again = Shape(), Named(), re.compile(r"(.)\1+")
+
     def __missing__(self, w: str) -> tuple[int, int]:
-        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in w[:24]))
-        out = (xxhash.xxh64_intdigest("s" + shape) % DIMS, xxhash.xxh64_intdigest("e" + w[-2:]) % DIMS)
-        if len(self) > 400_000:
+        out = (self.named["s" + self.again.sub(r"\1", w[:24].translate(self.shape))], self.named["e" + w[-2:]])
+        if len(self) > 200_000:
             self.clear()
         if len(w) <= 40:
             self[w] = out
@@ -183,13 +203,14 @@ def quality(docs: DataFrame, rows: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            said = [votes(x) for x in texts]
-            z = np.array([float(hashed(x) @ w) if x.strip() else -30.0 for x in texts]) + bias
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string()), pa.array([posterior.get(v, 0.0) for v in said], pa.float64()), pa.array(1 / (1 + np.exp(-z)), pa.float64())], ["doc_id", "votes", "posterior", "score"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, votes string, posterior double, score double")
-    return scored.withColumn("keep", F.col("score") >= keep_at)
+            z = np.array([float(hashed(x) @ w) if x and x.strip() else -30.0 for x in b.column(2).to_pylist()]) + bias
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(1 / (1 + np.exp(-z)), pa.float64())], ["doc_id", "h", "score"])
+
+    scored = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, score double")
+    # A row for each pattern of votes.
+    given = docs.sparkSession.createDataFrame(sorted(posterior.items()), "votes string, posterior double")
+    told = found.select("h", "votes").dropDuplicates(["h"]).join(F.broadcast(given), "votes")
+    return scored.join(told, "h").select("doc_id", "votes", "posterior", "score", (F.col("score") >= keep_at).alias("keep"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
