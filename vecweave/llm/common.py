@@ -54,7 +54,7 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` but for the rows whose doc_id is among ``ids``; rows with a null doc_id stay."""
-    ids = ids.select("doc_id").distinct()
+    ids = materialise(ids.select("doc_id").distinct())  # counted, then joined
     return docs.join(small_side(ids), "doc_id", "left_anti").select(*docs.columns)
 
 

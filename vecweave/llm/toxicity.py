@@ -63,7 +63,7 @@ class Words(dict):
         odd = plain != word and any(c.isalpha() for c in word)
         hit = odd and not odds and not insult and (self.odds(plain) >= STRONG or plain in INSULTS)
         out = (self.odds(plain) if hit else odds, insult or hit, word in YOU, odd, hit, len(written) > 2 and written.isupper())
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         if len(written) <= 40:
             self[written] = out
@@ -270,7 +270,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are predicted toxic; rows with a null doc_id stay, as no id names them."""
     from .common import without_ids
 
-    return without_ids(docs, materialise(toxicity(docs, labels, **options).where("predicted = 1").select("doc_id")))
+    return without_ids(docs, toxicity(docs, labels, **options).where("predicted = 1"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
