@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vecweave.llm.common import shared_path, table
 from vecweave.llm.decontaminate import drop_contaminated
 from vecweave.llm.mixing import mixed
-from vecweave.llm.neardup import keep_one
+from vecweave.llm.nearcopies import keep_one_near
 from vecweave.llm.tokens import digest_tokens, write_tokens
 from vecweave.llm.toxicity import drop_toxic
 
@@ -18,8 +18,8 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one(docs)
+    """One document of each group of near copies (five-word similarity of 0.8 or more)."""
+    return keep_one_near(docs)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
