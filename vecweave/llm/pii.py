@@ -4,7 +4,9 @@ Base patterns find e-mail addresses, IP addresses, card numbers and phone number
 entity. A term is a word of four letters or more within REACH characters of an entity. Over the whole corpus, the
 pointwise mutual information PMI(entity; term) = log2(n_et N / (n_e n_t)) measures how much of the entity's information
 content IC(entity) = log2(N / n_e) the term discloses; n counts documents. Terms seen with an entity in at least
-SUPPORT documents whose PMI reaches DISCLOSURE of IC are generalised wherever they stand near that entity.
+SUPPORT documents whose PMI reaches DISCLOSURE of IC are generalised wherever they stand near that entity. With a reach
+of None, as op10 has it, terms are all words of the whole documents, and disclosing ones are generalised wherever they
+stand in any document.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 TERM = r"(?<=[^\p{L}\p{N}])\p{L}[\p{L}\p{N}]{3,}+(?=[^\p{L}\p{N}])"
 
+#: Every word, whatever its length; it needs nothing around it.
+WORD = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]*+"
+
 _DIGITS = "regexp_extract_all({}, '[0-9]', 0)"
 _LUHN = (
     "aggregate(transform(reverse(" + _DIGITS + "), (c, i) -> cast(c as int) * (1 + i % 2) - if(i % 2 = 1 and cast(c as int) > 4, 9, 0)), 0, (a, b) -> a + b) % 10 = 0"
@@ -68,7 +73,7 @@ def _listed(column: str, kind: str) -> Column:
     return F.transform(F.col(column), lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
 
-def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find(docs: DataFrame, reach: int | None = REACH, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(doc_id, h, base, spans) for each row of ``docs``; h is the text's hash, spans hold kind, s, e in code points.
 
     ``base`` has the pattern matches by kind, then start; ``spans`` has these and the disclosing terms that overlap
@@ -77,6 +82,8 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure
     """
     df = base_spans(docs).withColumn("h", F.xxhash64("text"))
     df = df.withColumn("base", F.concat(*(_listed(k, k) for k in KINDS)))
+    if reach is None:
+        return _find_anywhere(docs, df, support, disclosure)
     near = (
         f"transform(base, x -> struct(concat_ws(':', x.kind, lower(substring(text, x.s + 1, x.e - x.s))) as entity, greatest(0, x.s - {reach}) as at, "
         f"substring(text, greatest(0, x.s - {reach}) + 1, x.s - greatest(0, x.s - {reach})) as before, x.e as past, substring(text, x.e + 1, {reach}) as after, "
@@ -100,6 +107,35 @@ def find(docs: DataFrame, reach: int = REACH, support: int = SUPPORT, disclosure
     return found.select("doc_id", "h", "base", F.concat("base", _listed("terms", "term")).alias("spans"))
 
 
+def _find_anywhere(docs: DataFrame, df: DataFrame, support: int, disclosure: float) -> DataFrame:
+    """find() over the words of whole documents; ``df`` has doc_id, h, text and base."""
+    entities = "transform(base, x -> concat_ws(':', x.kind, lower(substring(text, x.s + 1, x.e - x.s))))"
+    rows = materialise(df.select("doc_id", "h", "base", F.expr(f"if(size(base) > 0, {entities}, array())").alias("entities")))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    # Lower-cased after they are cut, as they are when they are marked.
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lower)).alias("words")
+    same = F.expr("doc_id <=> d and h = k")
+    held = rows.where("size(entities) > 0").select("doc_id", "h", F.explode("entities").alias("entity")).distinct()
+    # A pair can't be met more often than its value, so rarer values have no pairs to count.
+    n_e = materialise(held.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support))
+    met = materialise(held.join(small_side(n_e), "entity").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_set("entity").alias("met")))
+    seen = own.join(small_side(met), same).dropDuplicates(["doc_id", "h"]).select("met", words)
+    pairs = seen.select(F.explode("met").alias("entity"), "words").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    pairs = materialise(pairs.where(F.col("n_et") >= support))
+    each = own.select("doc_id", "h", words).select("doc_id", "h", F.explode("words").alias("term"))
+    n_t = each.groupBy("term").agg(F.count("*").alias("n_t"))
+    n = rows.count()
+    told = pairs.join(n_t, "term").join(n_e, "entity").where(F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t"))) >= disclosure * F.log2(F.lit(float(n)) / F.col("n_e"))).where(F.col("n_e") < n)
+    told = small_side(materialise(told.select("term").distinct()))
+    hits = each.join(told, "term", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_set("term").alias("told"))
+    marked = own.join(small_side(materialise(hits)), same).dropDuplicates(["doc_id", "h"])
+    marked = located(marked, "text", "terms", WORD, "true", "array_contains(told, lower({}))").select("d", "k", "terms")
+    found = rows.join(marked, same, "left")
+    free = F.filter(F.array_sort("terms"), lambda t: ~F.exists(F.col("base"), lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
+    found = found.withColumn("terms", F.coalesce(free, F.array().cast("array<struct<s:int,e:int>>")))
+    return found.select("doc_id", "h", "base", F.concat("base", _listed("terms", "term")).alias("spans"))
+
+
 def _terms(rows: DataFrame) -> DataFrame:
     """(doc_id, h, entity, term, s, e): every word near an entity, with its place in the text."""
     near = rows.where("size(near) > 0").select("doc_id", "h", F.explode("near").alias("x"))
@@ -126,7 +162,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
 
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document, with counts and a digest of the pattern matches."""
-    found = find(table(spark, sf_dir, "documents"))
+    found = find(table(spark, sf_dir, "documents"), reach=None)
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
     return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
