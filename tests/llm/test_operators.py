@@ -62,7 +62,7 @@ def test_decontamination(spark, rows, docs):
     got = [(r.doc_id, r.n_words, r.n_hit, r.n_items, ",".join(r.item_ids), r.contaminated) for r in decontaminate.contamination(docs, bench).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr) and sum(x[5] for x in want) > 5
     kept = decontaminate.drop_contaminated(docs, bench)
-    assert kept.columns == docs.columns and kept.count() == sum(not x[5] or x[0] is None for x in want)
+    assert kept.columns == docs.columns and kept.count() == sum(not x[5] for x in want)
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
@@ -98,7 +98,11 @@ def test_near_duplicates(docs, rows):
     got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in neardup.near_duplicates(docs).collect()), key=repr)
     assert got == want
     kept = neardup.keep_one(docs)
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({*least.values(), None}, key=repr) and kept.columns == docs.columns
+    groups = {}
+    for r, k in zip(rows, root, strict=True):
+        groups.setdefault(k, []).append(r[0])
+    best = sorted((min((x for x in g if x is not None), default=None) for g in groups.values()), key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == best and kept.columns == docs.columns
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -316,7 +320,8 @@ def test_toxicity(spark):
     held = [(r.predicted, truth[r.doc_id]) for r in got if r.held_out and r.doc_id in truth]
     assert sum(a == b for a, b in held) / len(held) > 0.97
     kept = toxicity.drop_toxic(d, y)
-    assert kept.where("doc_id is null or doc_id > 8999").count() == 3
+    assert all(r.predicted == 1 for r in got if r.doc_id is None) and kept.where("doc_id is null").count() == 0
+    assert kept.count() == len(docs) - sum(r.predicted for r in got) and kept.where("doc_id > 8999").count() == 2
     assert toxicity.toxicity(d, y.limit(0)).where("predicted = 1").count() == 0 and toxicity.toxicity(d.limit(0), y).count() == 0
 
 

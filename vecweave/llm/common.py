@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an id list or fingerprint table up to which a join may broadcast it (about 16 bytes a row).
@@ -18,18 +18,26 @@ BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Bound the Arrow batches that hold whole texts. The session keeps these bounds, as plans read them when they run;
+    they are only ever lowered."""
+    for name, bound in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = str(spark.conf.get(key)).rstrip("bB")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= bound:
+            spark.conf.set(key, str(bound))
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one under /tmp only where the session names none (tests)."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints/vecweave")
-    return spark.sparkContext.getCheckpointDir()
+    """The shared folder that spark.checkpoint.dir names. Only a local master may leave it unset, as tests do: elsewhere
+    a folder of the driver's machine would be lost to the executors, so this raises."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints/vecweave")
+    return context.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -43,6 +51,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate rows, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,10 +66,46 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id is among ``ids``; rows with a null doc_id stay."""
-    ids = materialise(ids.select("doc_id").distinct())  # counted, then joined
-    return docs.join(small_side(ids), "doc_id", "left_anti").select(*docs.columns)
+def text_key(text: Column | str = "text") -> Column:
+    """What tells the texts of one doc_id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, key): whole rows in one column, so that no name of theirs meets one of ours, and text_key()."""
+    return docs.select(F.struct("*").alias("row"), text_key().alias("key"))
+
+
+_SAME = "row.doc_id <=> d and key = k"
+
+
+def without_rows(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose doc_id (null is a value) and text are among ``lost(doc_id, key)``.
+
+    A row follows the verdict on its own text: other texts under the same doc_id stay.
+    """
+    lost = materialise(lost.select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct())  # counted, then joined
+    return whole_rows(docs).join(small_side(lost), F.expr(_SAME), "left_anti").select("row.*")
+
+
+def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row for each root of ``groups(doc_id, key, root)``, which names the group of every row.
+
+    It is the row of the smallest doc_id, then of the smallest key; a row without a doc_id is kept only where its group
+    has none with one. Rows that repeat both are one document and leave one row.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    best = groups.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", "first")
+    members = groups.join(small_side(materialise(best)), "root")
+    kept_pair = F.expr("doc_id <=> first.doc_id and key = first.key")
+    kept = without_rows(docs, members.where(~kept_pair))
+    again = members.where(kept_pair).groupBy("doc_id", "key").count().where("count > 1")
+    again = materialise(again.select(F.col("doc_id").alias("d"), F.col("key").alias("k")))
+    if not again.limit(1).count():
+        return kept
+    twice, rows = small_side(again), whole_rows(kept)
+    one = rows.join(twice, F.expr(_SAME), "left_semi").withColumn("d", F.col("row.doc_id")).dropDuplicates(["d", "key"]).select("row")
+    return rows.join(twice, F.expr(_SAME), "left_anti").select("row").unionByName(one).select("row.*")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

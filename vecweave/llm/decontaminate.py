@@ -2,9 +2,11 @@
 
 Texts are cut into lower-cased words. Every k-gram of words is hashed, and in each run of w neighbouring k-grams those
 with the smallest hash are kept as fingerprints: two texts that share k + w - 1 words share a fingerprint inside the
-shared span, so no shared window is missed. Fingerprints of documents that a fixed-size filter over the benchmark's
-fingerprints may contain are joined with the benchmark's, the k words are compared, and the hit is extended word by
-word to both sides as far as a window reaches. Items shorter than a window are matched whole by n-grams of their length.
+shared span, so no shared window is missed. Fingerprints of documents that a filter over the benchmark's fingerprints may
+contain are joined with the benchmark's distinct ones, and each hit is extended to the windows around it, which are
+joined with the benchmark's distinct windows and their items. Both joins give one row at most for each row of a document,
+and a document has one row for each different gram or window, so stock phrases and short items don't multiply. Items
+shorter than a window are matched whole by grams of their length.
 """
 
 from __future__ import annotations
@@ -17,17 +19,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, slice_hashes, small_side, table, text_bytes, tune, without_ids
+from .common import LOWER, materialise, mix64, slice_hashes, small_side, table, text_bytes, text_key, tune, without_rows
 
 WINDOW, GRAM = 10, 5
-#: Bits of the filter over benchmark fingerprints; its size is the same for every benchmark.
-FILTER_BITS = 1 << 22
+#: Bits of the filter for each fingerprint of the benchmark, and the least and the most of all (as powers of two). Where
+#: the most (32 MB) is too few, more fingerprints of documents pass, and the joins do the rest.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 16, 28
+#: Pairs of an item and a window, and distinct fingerprints, up to which the benchmark's side of a join is broadcast.
+SMALL = 200_000
 
 _WORD = np.ones(256, bool)
 _WORD[:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
 _WORD[0x41:0x5B] = True  # lower-cased before they are words
 
-_FP = "rid long, id long, n_words long, fps array<struct<h:long,kind:int,pos:int,core:string,before:array<string>,after:array<string>>>"
+_WIN = pa.struct([("text", pa.string()), ("at", pa.list_(pa.int32()))])
+_GRAM = pa.struct([("h", pa.int64()), ("kind", pa.int32()), ("core", pa.string()), ("wins", pa.list_(_WIN))])
+_FP = "rid long, id long, key long, n_words long, fps array<struct<h:long,kind:int,core:string,wins:array<struct<text:string,at:array<int>>>>>"
 
 
 def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,106 +76,106 @@ def winnow(g: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
 
 
 def may_contain(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = h & np.uint64(FILTER_BITS - 1), (h >> np.uint64(22)) & np.uint64(FILTER_BITS - 1)
-    six, low = np.uint64(6), np.uint64(63)
+    six, low, bits = np.uint64(6), np.uint64(63), np.uint64(64 * len(filter_) - 1)
+    a, b = h & bits, (h >> np.uint64(32)) & bits
     return ((filter_[(a >> six).astype(np.int64)] >> (a & low)) & (filter_[(b >> six).astype(np.int64)] >> (b & low)) & np.uint64(1)).astype(bool)
 
 
 def fingerprint_rows(items: DataFrame, id_column: str, filter_: np.ndarray | None, short: list[int] | None, window: int, gram: int) -> DataFrame:
-    """One row for each row of ``items``, in the form of _FP.
+    """One row for each row of ``items``, in the form of _FP: each different gram with the windows that hold it.
 
     Without a filter (the benchmark) every fingerprint is kept, and an item of fewer than ``window`` words is one gram
     of its own length. With one (documents) only those that the filter may contain, and grams of the lengths ``short``.
+    A gram of kind zero is a fingerprint; one of another kind is a whole short item and its own only window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId() << 40, 0
         for b in batches:
-            data, starts, ends, first = words_of(*text_bytes(b.column(1)))
-            n_docs, n = len(b), len(starts)
+            data, starts, ends, first = words_of(*text_bytes(b.column(2)))
+            n_docs = len(b)
             h = slice_hashes(data, starts, ends)
             counts = np.diff(first)
             of = np.repeat(np.arange(n_docs), counts)
             stop = np.repeat(first[1:], counts)  # of each word, the first word of the next text
-            picked = []
             g = gram_hashes(h, gram)
             ok = np.arange(len(g)) + gram <= stop[: len(g)]
             if filter_ is None:
                 ok &= counts[of[: len(g)]] >= window
             got = np.flatnonzero(winnow(g, ok, window - gram + 1))
-            picked.append((got, g[got], 0))
-            lengths = range(1, window) if filter_ is None else short
-            for k in lengths:
+            picked = [(got, g[got], 0)]
+            for k in range(1, window) if filter_ is None else short:
                 g = gram_hashes(h, k)
                 at = first[:-1][counts == k] if filter_ is None else np.flatnonzero(np.arange(len(g)) + k <= stop[: len(g)])
                 picked.append((at, g[at], k))
-            rows: list[list[dict]] = [[] for _ in range(n_docs)]
+            rows: list[dict[tuple, dict[str, list[int]]]] = [{} for _ in range(n_docs)]
+            words = lambda i, j: " ".join(data[x:y].tobytes().decode() for x, y in zip(starts[i:j], ends[i:j], strict=True))
             for at, hashes, kind in picked:
                 if filter_ is not None and len(at):
                     hit = may_contain(filter_, hashes)
                     at, hashes = at[hit], hashes[hit]
-                size, reach = kind or gram, 0 if kind else window - gram
                 for w, x in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
                     d = int(of[w])
-                    lo, hi = max(int(first[d]), w - reach), min(int(first[d + 1]), w + size + reach)
-                    ws = [data[starts[i] : ends[i]].tobytes().decode() for i in range(lo, hi)]
-                    c = w - lo
-                    rows[d].append({"h": x, "kind": kind, "pos": w - int(first[d]), "core": " ".join(ws[c : c + size]), "before": ws[:c][::-1], "after": ws[c + size :]})
-            fps = pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("kind", pa.int32()), ("pos", pa.int32()), ("core", pa.string()), ("before", pa.list_(pa.string())), ("after", pa.list_(pa.string()))])))
+                    lo, hi = int(first[d]), int(first[d + 1])
+                    wins = rows[d].setdefault((x, kind, words(w, w + (kind or gram))), {})
+                    for s in (w,) if kind else range(max(lo, w + gram - window), min(w, hi - window) + 1):
+                        wins.setdefault(words(s, s + (kind or window)), []).append(s - lo)
+            fps = pa.array([[{"h": h, "kind": k, "core": c, "wins": [{"text": t, "at": p} for t, p in wins.items()]} for (h, k, c), wins in r.items()] for r in rows], pa.list_(_GRAM))
             rid = pa.array(part + seen + np.arange(n_docs))
             seen += n_docs
-            yield pa.RecordBatch.from_arrays([rid, b.column(0), pa.array(counts.astype(np.int64)), fps], ["rid", "id", "n_words", "fps"])
+            yield pa.RecordBatch.from_arrays([rid, b.column(0), b.column(1), pa.array(counts.astype(np.int64)), fps], ["rid", "id", "key", "n_words", "fps"])
 
-    return items.select(F.col(id_column).cast("long").alias("id"), "text").mapInArrow(run, _FP)
+    return items.select(F.col(id_column).cast("long").alias("id"), text_key().alias("key"), "text").mapInArrow(run, _FP)
 
 
-def benchmark_filter(fps: DataFrame) -> np.ndarray:
-    """Two bits for each fingerprint in a bitmap of FILTER_BITS; at most one row for each of its words reaches the driver."""
-    low = FILTER_BITS - 1
-    bits = fps.select(F.explode(F.array(F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 22).bitwiseAND(low))).alias("b"))
-    words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v")).collect()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in words:
-        out[r.w] = r.v
+def benchmark_filter(grams: DataFrame) -> np.ndarray:
+    """Two bits for each of the distinct ``grams(h)`` in a bitmap sized by their number."""
+    power = int(np.ceil(np.log2(BITS_EACH * max(1, grams.count()))))
+    low = (1 << min(MOST_BITS, max(LEAST_BITS, power))) - 1
+    bits = grams.select(F.explode(F.array(F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 32).bitwiseAND(low))).alias("b"))
+    # At most one row for each word of the bitmap reaches the driver.
+    words = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("v")).toArrow()
+    out = np.zeros((low + 1) // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
     return out.view(np.uint64)
 
 
-def _same(a: str, b: str) -> str:
-    """SQL: how many leading entries of two arrays of strings agree."""
-    z = f"zip_with({a}, {b}, (x, y) -> x <=> y and x is not null)"
-    return f"if(array_position({z}, false) = 0, size({z}), cast(array_position({z}, false) as int) - 1)"
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), spans, contaminated.
+    """One row for each row of ``docs``: doc_id, key, n_words, n_hit, n_items, item_ids (sorted strings), spans, contaminated.
 
-    A span is [first, past last) in words. Null or wordless texts have no words and no hits; wordless items never occur;
-    items with equal text all count; a row that repeats has a result of its own; rows with a null doc_id are judged
-    like any other, and items with a null item_id mark words but aren't listed. An empty benchmark hits nothing.
+    ``key`` is the text's. A span is a window's [first, past last) in words. Null or wordless texts have no words and no
+    hits; texts of any length are read whole; wordless items never occur; items with equal text all count; a row that
+    repeats has a result of its own; rows with a null doc_id are judged like any other, and items with a null item_id
+    mark words but aren't listed. Further columns aren't read, so their names don't matter. An empty benchmark hits
+    nothing; an empty table gives an empty result.
     """
     tune(docs.sparkSession)
-    items = fingerprint_rows(benchmark, "item_id", None, None, window, gram)
-    fps = items.select(F.col("id").alias("item_id"), F.explode("fps").alias("f")).select("item_id", "f.*")
-    short = sorted(r.kind for r in fps.where("kind > 0").select("kind").distinct().collect())
-    found = fingerprint_rows(docs, "doc_id", benchmark_filter(fps), short, window, gram)
-    d = found.select("rid", F.col("id").alias("doc_id"), "n_words", F.explode_outer("fps").alias("d")).select("rid", "doc_id", "n_words", *(F.col(f"d.{c}").alias(c) for c in ("h", "kind", "pos", "core", "before", "after")))
-    i = small_side(fps.select("item_id", "h", "kind", "core", F.col("before").alias("i_before"), F.col("after").alias("i_after")), 50_000)
-    hits = d.join(i, ["h", "kind", "core"], "left")
-    left, right = F.expr(_same("before", "i_before")), F.expr(_same("after", "i_after"))
-    hits = hits.withColumn("l", left).withColumn("r", right)
-    real = F.col("i_before").isNotNull() & ((F.col("kind") > 0) | (F.col("l") + F.col("r") + gram >= window))
-    span = F.when(real, F.struct((F.col("pos") - F.col("l")).alias("a"), (F.col("pos") + F.when(F.col("kind") > 0, F.col("kind")).otherwise(gram) + F.col("r")).alias("b")))
-    found = hits.groupBy("rid", "doc_id", "n_words").agg(F.collect_set(span).alias("spans"), F.collect_set(F.when(real, F.col("item_id").cast("string"))).alias("item_ids"))
+    items = materialise(fingerprint_rows(benchmark, "item_id", None, None, window, gram).select(F.col("id").cast("string").alias("item"), F.explode("fps").alias("f")))
+    grams = materialise(items.select("f.h", "f.kind", "f.core").distinct())
+    pairs = materialise(items.select("item", "f.kind", F.explode("f.wins.text").alias("text")).distinct())
+    wins = pairs.groupBy("kind", "text").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    wins = F.broadcast(wins) if pairs.limit(SMALL + 1).count() <= SMALL else wins
+    short = sorted(r.kind for r in grams.where("kind > 0").select("kind").distinct().collect())
+    found = fingerprint_rows(docs, "doc_id", benchmark_filter(grams), short, window, gram)
+    # Rows without a gram or window keep their own number as the key, so that they don't gather in one task.
+    d = found.select("rid", "id", "key", "n_words", F.explode_outer("fps").alias("d"))
+    d = d.select("rid", "id", "key", "n_words", F.coalesce("d.h", "rid").alias("h"), F.coalesce("d.kind", F.lit(-1)).alias("kind"), F.coalesce("d.core", F.lit("")).alias("core"), "d.wins")
+    d = d.join(small_side(grams.withColumn("real", F.lit(True)), SMALL), ["h", "kind", "core"], "left")
+    w = d.select("rid", "id", "key", "n_words", "kind", F.explode_outer(F.when(F.col("real"), F.col("wins"))).alias("w"))
+    w = w.select("rid", "id", "key", "n_words", "w.at", F.when(F.col("w").isNull(), -1).otherwise(F.col("kind")).alias("kind"), F.coalesce("w.text", F.col("rid").cast("string")).alias("text"))
+    size = F.when(F.col("kind") > 0, F.col("kind")).otherwise(window)
+    hits = w.join(wins, ["kind", "text"], "left").withColumn("size", size)
+    span = F.when(F.col("items").isNotNull(), F.transform("at", lambda a: F.struct(a.alias("a"), (a + F.col("size")).alias("b"))))
+    found = hits.groupBy("rid", "id", "key", "n_words").agg(F.collect_list(span).alias("spans"), F.collect_set("items").alias("items"))
+    found = found.withColumn("all", F.array_sort(F.flatten("spans"))).withColumn("item_ids", F.array_sort(F.array_distinct(F.flatten("items"))))
+    found = found.withColumn("spans", F.expr("filter(all, (x, i) -> i = 0 or x <> all[i - 1])"))
     merged = "aggregate(spans, struct(0L as n, 0 as past), (s, x) -> struct(s.n + greatest(0, x.b - greatest(x.a, s.past)) as n, greatest(s.past, x.b) as past)).n"
-    return (
-        found.withColumn("spans", F.array_sort("spans")).withColumn("item_ids", F.array_sort("item_ids"))
-        .select("doc_id", "n_words", F.expr(merged).alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans", (F.size("spans") > 0).alias("contaminated"))
-    )
+    return found.select(F.col("id").alias("doc_id"), "key", "n_words", F.expr(merged).alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans", (F.size("spans") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; rows with a null doc_id stay, as no id names them."""
-    return without_ids(docs, contamination(docs, benchmark, **options).where("contaminated").select("doc_id"))
+    """``docs`` without the rows whose text holds a benchmark window; each row follows its own text, with or without a doc_id."""
+    return without_rows(docs, contamination(docs, benchmark, **options).where("contaminated"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

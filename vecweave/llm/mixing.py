@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 
 from .common import small_side, table
 
-SEED, ALPHA, PIECE, TERMS = 17, 0.5, 16.0, 96
+SEED, ALPHA, PIECE = 17, 0.5, 16.0
+
+
+def terms_of(piece: float) -> int:
+    """How far a piece's distribution function is written out: twenty standard deviations above the largest mean, where
+    what is left is far below the 2^-52 that tells two uniform numbers apart, so no draw can lie beyond."""
+    return int(piece + 20 * max(1.0, piece) ** 0.5)
+
+
+TERMS = terms_of(PIECE)
 
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = ALPHA, total: float | None = None, piece: float = PIECE) -> DataFrame:
@@ -31,36 +40,42 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha
     n = n.withColumn("rate", all_n * F.col("w") / all_w / F.col("n"))
     n = n.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / piece)).cast("int")).withColumn("part", F.col("rate") / F.col("pieces"))
     step = "struct(s.t * part / k as t, concat(s.c, array(element_at(s.c, -1) + s.t * part / k)) as c)"
-    cdf = f"aggregate(sequence(1, {TERMS}), struct(exp(-part) as t, array(exp(-part)) as c), (s, k) -> {step}, s -> s.c)"
+    cdf = f"aggregate(sequence(1, {terms_of(piece)}), struct(exp(-part) as t, array(exp(-part)) as c), (s, k) -> {step}, s -> s.c)"
     return n.withColumn("cdf", F.expr(cdf)).select("source", "n", "rate", "pieces", "cdf")
 
 
-def replicate(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """The columns of ``docs`` with ``copy`` (from 1) and ``mix_key``, in the order of mix_key.
-
-    Rows with equal doc_id (null is a value too) get equal draws. Null sources are a source of their own; null or empty
-    texts are copied like any other. A column named copy or mix_key is replaced. An empty table gives an empty result.
-    """
+def _copies(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """(row, copy, mix_key) in the order of mix_key; whole rows travel in one column, so that no name of theirs meets one of ours."""
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
     per = small_side(rates(docs, **options).select(F.col("source").alias("name"), "pieces", "cdf"))
-    # Whole rows travel in one column, so that no name of theirs meets one of ours.
-    held = docs.select(F.struct(*own).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"), "source").join(per, F.expr("source <=> name"))
+    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
+    held = held.join(per, F.expr("row.source <=> name"))
     draw = f"transform(sequence(1, pieces), j -> cast(conv(substr(md5(concat_ws(':', '{seed}', id, cast(j as string))), 1, 13), 16, 10) as bigint) / 4503599627370496.0D)"
     held = held.withColumn("u", F.expr(draw))
     held = held.withColumn("copies", F.expr("aggregate(u, 0, (a, x) -> a + size(filter(cdf, c -> c <= x)))"))
     copies = held.where("copies > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "id", F.col("copy").cast("string")))
-    copies = copies.withColumn("mix_key", F.substring(key, 1, 16)).select("row.*", "copy", "mix_key")
+    copies = copies.select("row", "copy", F.substring(key, 1, 16).alias("mix_key"))
     # The key is uniform, so its leading digits deal the rows evenly and in order, without a sampling pass.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket = (F.conv(F.substring("mix_key", 1, 6), 16, 10).cast("long") * n / F.lit(1 << 24)).cast("int")
     return copies.repartitionById(n, bucket).sortWithinPartitions("mix_key")
 
 
+def replicate(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """The columns of ``docs`` with ``copy`` (from 1) and ``mix_key``, in the order of mix_key.
+
+    Rows with equal doc_id (null is a value too) get equal draws. Null sources are a source of their own; null, empty
+    and very long texts are copied like any other. A column of ``docs`` named copy or mix_key gives way to the new one;
+    mixed() keeps it. An empty table gives an empty result.
+    """
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("copy", "mix_key")]
+    return _copies(docs, seed, **options).select(*own, "copy", "mix_key")
+
+
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """As replicate(), with the columns of ``docs`` only."""
-    return replicate(docs, **options).select(*docs.columns)
+    """As replicate(), with the columns of ``docs`` and their values only, whatever they are named."""
+    return _copies(docs, **options).select("row.*")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,14 @@
-"""Near copies for the pipeline: five-word shingles, candidates by MinHash bands, an exact check of every candidate group.
+"""Near copies for the pipeline: near_duplicates for five-word shingles and a similarity of 0.8, checked exactly.
 
-The signature of a text is the smallest of its shingle hashes under each of BANDS x ROWS mixings; texts that agree in a
-whole band are candidates. Of two texts of Jaccard similarity 0.8, a band agrees with chance 0.8^6 = 0.26, so all 42
-miss with chance 3 in a million; of 0.3, one agrees with chance 0.03. Candidates that hang together are then compared by
-their shingle sets, exactly. A set of candidates that is large is dealt out in blocks and every two blocks meet.
+Fingerprints within 2 bits, found by neardup's vantage-point trees, and texts that agree in a band of MinHash values are
+candidates. The trees alone reach nearly unchanged copies only (see README for what they find and prune at wider radii).
+Of two texts of Jaccard similarity 0.8, a band of ROWS values agrees with chance 0.8^6 = 0.26, so all 42 miss with chance
+3 in a million; of 0.3, one agrees with chance 0.03.
+
+Candidates come in buckets of texts that share a band or a tree's group. First each text is compared, by its whole
+shingle set, with the text that leads most of its buckets, which is one comparison for each text however large a bucket
+is. What hangs together then counts as one, and only in buckets of which some texts still stand apart are these compared
+with the others, in blocks.
 """
 
 from __future__ import annotations
@@ -16,12 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, small_side, text_bytes, tune
+from .common import keep_first, materialise, mix64, small_side, text_bytes, text_key, tune
 from .components import components
+from .neardup import RADIUS, fingerprint_of, near_groups
 
 WORDS, SIMILAR, BANDS, ROWS, SEED = 5, 0.8, 42, 6, 42
 #: Texts and characters of a block of candidates; a task holds two blocks.
 BLOCK_ROWS, BLOCK_CHARS = 1_000, 8 << 20
+#: Leaders whose shingles a worker remembers.
+LEADERS = 16
 
 _SALTS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -85,72 +93,117 @@ def exact_links(sets: list[np.ndarray], similar: float = SIMILAR) -> list[tuple[
     return found
 
 
-def near_copy_groups(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
-    """(key, root) for every distinct text of ``docs`` with another in its group; key is xxhash64 of the text (null: empty)."""
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key, fp, bands) for each row of ``docs(key, text)``."""
     tune(docs.sparkSession)
-    own = docs.select(F.coalesce("text", F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = text_bytes(b.column(1))
             raw, at = data.tobytes(), at.tolist()
-            got = np.array([bands(shingles(raw[s:e], words)) for s, e in zip(at, at[1:], strict=False)], np.uint64).reshape(-1, BANDS)
-            values = pa.array(got.reshape(-1).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * BANDS), values)], ["key", "bands"])
-
-    signed = materialise(own.mapInArrow(sign, "key long, bands array<long>"))
-    each = signed.select("key", F.explode("bands").alias("band"))
-    shared = materialise(each.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("band", "least"))
-    candidates = components(each.join(small_side(shared), "band").where("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
-    held = own.join(small_side(materialise(candidates.select(F.col("node").alias("key"), "root"))), "key").dropDuplicates(["key"])
-    held = materialise(held)
-    sizes = held.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS)).cast("int").alias("blocks"))
-    packs = 1 + held.count() // BLOCK_ROWS
-    # Small sets of candidates share a task; of a large one, every text meets its own block and each other one.
-    mine = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int")
-    dealt = held.join(small_side(materialise(sizes)), "root").withColumn("mine", mine)
-    dealt = dealt.withColumn("other", F.explode(F.expr("if(blocks = 1, array(0), filter(sequence(0, blocks - 1), x -> x <> mine))")))
-    pack = F.when(F.col("blocks") == 1, F.pmod("root", F.lit(packs))).otherwise(F.col("root"))
-    dealt = dealt.select(pack.alias("pack"), (F.col("blocks") > 1).alias("large"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "root", "key", "text")
+            sets = [shingles(raw[s:e], words) for s, e in zip(at, at[1:], strict=False)]
+            got = np.array([bands(x) for x in sets], np.uint64).reshape(-1, BANDS)
+            fp = np.array([fingerprint_of(x) for x in sets], np.uint64)
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * BANDS), pa.array(got.reshape(-1).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), each], ["key", "fp", "bands"])
+
+    return docs.select("key", "text").mapInArrow(sign, "key long, fp long, bands array<long>")
+
+
+def buckets(signed: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(band, key, least): the texts of each band or tree's group that has two or more, and the least of them."""
+    by_band = signed.select(F.explode("bands").alias("band"), "key").distinct()
+    trees = near_groups(signed.select("fp"), radius)
+    fps = signed.select("fp", "key").distinct()
+    by_tree = fps.join(trees, "fp", "left").select(F.xxhash64(F.lit("tree"), F.coalesce("root", "fp")).alias("band"), "key")
+    each = by_band.unionByName(by_tree)
+    shared = each.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("band", "least")
+    return each.join(small_side(materialise(shared)), "band").select("band", "key", "least")
+
+
+def with_leaders(members: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """(a, b): every text and the one that leads most of its buckets, where these two are similar."""
+    pairs = members.where("key <> least").groupBy("key", "least").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("key").agg(F.max_by("least", F.struct("n", -F.col("least"))).alias("lead"))
+    led = pairs.join(texts, "key").join(texts.select(F.col("key").alias("lead"), F.col("text").alias("first")), "lead")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            a, c = [], []
+            for key, lead, text, first in zip(*(b.column(k) for k in range(4)), strict=True):
+                key, lead = key.as_py(), lead.as_py()
+                if lead not in known:
+                    if len(known) >= LEADERS:
+                        known.clear()
+                    known[lead] = shingles(first.as_py().encode(), words)
+                x, y = shingles(text.as_py().encode(), words), known[lead]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similar * (len(x) + len(y) - both) - 1e-9:
+                    a.append(key)
+                    c.append(lead)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+
+    return led.select("key", "lead", "text", "first").mapInArrow(check, "a long, b long")
+
+
+def standing_apart(members: DataFrame, found: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
+    """(a, b): links of the texts that are in a bucket but not in ``found(key, root)``'s largest group of it."""
+    placed = members.select("band", "key").join(small_side(found), "key", "left").select("band", "key", F.coalesce("root", "key").alias("v"))
+    placed = materialise(placed)
+    groups = placed.groupBy("band", "v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("h"))
+    mixed = groups.groupBy("band").agg(F.count("*").alias("groups"), F.max_by("v", F.struct("n", "v")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("h").alias("h"))
+    # Bands whose buckets hold the same texts are one bucket.
+    mixed = mixed.where("groups > 1").groupBy("n", "h").agg(F.min_by(F.struct("band", "largest", "most"), "band").alias("b")).select("b.*")
+    mixed = small_side(materialise(mixed))
+    rows = placed.join(mixed, "band").join(texts, "key").withColumn("apart", F.col("v") != F.col("largest"))
+    rows = materialise(rows.select("band", "key", "text", "apart"))
+    blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.count(of) / BLOCK_ROWS), F.ceil(F.sum(F.when(of, F.length("text"))) / BLOCK_CHARS)).cast("int")
+    sizes = rows.groupBy("band").agg(blocks(F.when(F.lit(True), F.lit(True))).alias("all"), blocks(F.when(F.col("apart"), F.lit(True))).alias("some"))
+    dealt = rows.join(small_side(materialise(sizes)), "band")
+    place = lambda n: F.pmod(F.xxhash64("key", F.lit("block")), F.col(n)).cast("int")
+    every = dealt.withColumn("i", place("all")).withColumn("j", F.explode(F.expr("sequence(0, some - 1)")))
+    apart = dealt.where("apart").withColumn("j", place("some")).withColumn("i", F.explode(F.expr("sequence(0, all - 1)")))
+    # Small buckets share a task.
+    packs = 1 + rows.count() // BLOCK_ROWS
+    pack = F.when((F.col("all") == 1) & (F.col("some") == 1), F.pmod("band", F.lit(packs))).otherwise(F.col("band"))
+    out = [pack.alias("pack"), (F.col("all") + F.col("some") > 2).alias("large"), "i", "j", "band", "key", "text"]
+    dealt = every.select(*out).unionByName(apart.where("all > 1 or some > 1").select(*out))
 
     def search(t: pa.Table) -> pa.Table:
-        root, key = t.column("root").to_numpy(), t.column("key").to_numpy()
-        texts = t.column("text")
-        order = np.argsort(root, kind="stable")
+        band, key, texts = t.column("band").to_numpy(), t.column("key").to_numpy(), t.column("text")
+        order = np.lexsort((key, band))
+        order = order[np.concatenate([[True], (np.diff(band[order]) != 0) | (np.diff(key[order]) != 0)])] if len(order) else order
         a, b = [], []
-        for rows in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        for rows in np.split(order, np.flatnonzero(np.diff(band[order])) + 1):
             sets = [shingles(texts[int(i)].as_py().encode(), words) for i in rows]
-            for x, y in exact_links(sets, similar):
+            for x, y in exact_links(sets, similar) if sets else ():
                 a.append(int(key[rows[x]]))
                 b.append(int(key[rows[y]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    edges = dealt.groupBy("pack", "large", "i", "j").applyInArrow(search, "a long, b long")
+    return dealt.groupBy("pack", "large", "i", "j").applyInArrow(search, "a long, b long")
+
+
+def near_copy_groups(docs: DataFrame, words: int = WORDS, similar: float = SIMILAR) -> DataFrame:
+    """(key, root) for every distinct text of ``docs`` with another in its group; key is text_key()."""
+    own = docs.select(text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    members = materialise(buckets(materialise(signatures(own, words))))
+    texts = own.join(small_side(materialise(members.select("key").distinct())), "key").dropDuplicates(["key"])
+    texts = materialise(texts)
+    near = materialise(with_leaders(members, texts, words, similar))
+    found = materialise(components(near).select(F.col("node").alias("key"), "root"))
+    edges = near.unionByName(standing_apart(members, found, texts, words, similar))
     return components(edges).select(F.col("node").alias("key"), "root")
 
 
 def keep_one_near(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that of the smallest doc_id, then of the smallest hash of text.
+    """``docs`` with one row of each group of near copies, as common.keep_first() chooses it.
 
-    Rows are told apart by doc_id and text together; a row without a doc_id is kept only where its group has none with
-    one. Rows that repeat both are one document. Null, empty and blank texts are copies of each other.
+    Rows are told apart by doc_id and text together. Null, empty and blank texts are copies of each other; texts of any
+    length are compared whole. Columns keep their names and values. An empty table gives an empty result.
     """
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    groups = near_copy_groups(docs, **options)
-    grouped = small_side(materialise(groups))
-    ids = rows.select(F.col("row.doc_id").alias("doc_id"), "key")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    named = materialise(ids.join(grouped, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root")))
-    best = named.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").select("root", "first")
-    lost = named.join(small_side(materialise(best)), "root")
-    # One row of the kept pair stays where the pair itself repeats.
-    again = lost.where("doc_id <=> first.doc_id and key = first.key").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key")
-    lost = small_side(materialise(lost.where("not (doc_id <=> first.doc_id and key = first.key)").select(F.col("doc_id").alias("d"), F.col("key").alias("k")).distinct()))
-    kept = rows.join(lost, F.expr("row.doc_id <=> d and key = k"), "left_anti")
-    again = materialise(again.select(F.col("doc_id").alias("d"), F.col("key").alias("k")))
-    if again.limit(1).count():
-        twice, on = small_side(again), F.expr("row.doc_id <=> d and key = k")
-        one = kept.join(twice, on, "left_semi").withColumn("d", F.col("row.doc_id")).dropDuplicates(["d", "key"]).select("row")
-        kept = kept.join(twice, on, "left_anti").select("row").unionByName(one)
-    return kept.select("row.*")
+    grouped = small_side(materialise(near_copy_groups(docs, **options)))
+    ids = docs.select("doc_id", text_key().alias("key"))
+    named = ids.join(grouped, "key", "left").select("doc_id", "key", F.coalesce("root", "key").alias("root"))
+    return keep_first(docs, materialise(named))

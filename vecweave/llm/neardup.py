@@ -18,12 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_bytes, tune
+from .common import keep_first, materialise, table, text_bytes, text_key, tune
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
-#: Rows of the sample that fits the tree, rows of its own that a shard should hold, and beyond which it cuts itself.
-SAMPLE, SHARD, LOCAL = 16_384, 1_024, 4_096
+#: Rows of its own that a shard should hold, sampled rows for each shard that the tree is to have, the least and the most
+#: of a sample, rows of a shard beyond which it cuts itself, and rows that are routed together.
+SHARD, PER_SHARD, LEAST, SAMPLE, LOCAL, ROUTED = 1_024, 4, 16_384, 1 << 18, 4_096, 1 << 17
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -68,18 +69,25 @@ def simhash_texts(texts: list[bytes], words: int = WORDS) -> np.ndarray:
     return (set_.reshape(-1, 64).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64) if len(texts) else np.zeros(0, np.uint64)
 
 
+def fingerprint_of(hashes: np.ndarray) -> np.uint64:
+    """The 64-bit fingerprint of one text's shingle hashes."""
+    raw = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    ones = np.stack([np.bincount(raw[:, k], minlength=256) for k in range(8)]) @ _BITS
+    return np.packbits(2 * ones.reshape(-1) > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp long) for each row of ``docs``; null or wordless text has fingerprint zero."""
+    """(doc_id, key, fp long) for each row of ``docs``, key being its text's; null or wordless text has fingerprint zero."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = text_bytes(b.column(1))
+            data, at = text_bytes(b.column(2))
             raw, at = data.tobytes(), at.tolist()
             fp = simhash_texts([raw[s:e] for s, e in zip(at, at[1:], strict=False)], words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 class Tree:
@@ -133,7 +141,7 @@ class Tree:
 def links(own: np.ndarray, queries: np.ndarray, radius: int, local: int = LOCAL) -> tuple[np.ndarray, np.ndarray]:
     """A forest over distinct fingerprints: each linked one with the first of its tree; links have an own row at one end."""
     if len(own) > local:
-        tree = Tree(own[:: max(1, len(own) // SAMPLE)], max(8, local * SAMPLE // max(SAMPLE, len(own)) // 2), radius)
+        tree = Tree(own[:: max(1, len(own) // LEAST)], max(8, local * LEAST // max(LEAST, len(own)) // 2), radius)
         if tree.n_leaves > 1:
             both, mine = np.concatenate([own, queries]), np.arange(len(own) + len(queries)) < len(own)
             parts: dict[int, list] = {}
@@ -181,15 +189,27 @@ def near_groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root) for every distinct value of ``fps(fp long)`` that has another within ``radius`` bits."""
     distinct = fps.select("fp").distinct()
     n = distinct.count()
-    # The smallest hashes are a uniform sample and the same one in every run; its size is fixed.
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    tree = Tree(sample, max(4, int(SHARD * len(sample) / max(1, n))), radius)
+    # The smallest hashes are a uniform sample and the same one in every run. It grows with the shards that are needed,
+    # up to SAMPLE rows (2 MB); beyond SHARD * SAMPLE / PER_SHARD fingerprints shards grow, and cut themselves further.
+    want = min(SAMPLE, max(LEAST, PER_SHARD * -(-n // SHARD)))
+    sample = distinct.orderBy(F.xxhash64("fp"), "fp").limit(want).toArrow().column("fp").to_numpy().view(np.uint64)
+    tree = Tree(sample, max(PER_SHARD, int(SHARD * len(sample) / max(1, n))), radius)
+
+    def routed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        x = np.concatenate(held).view(np.uint64)
+        for leaf, rows, own in tree.route(x, np.ones(len(x), bool)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(x[rows].view(np.int64)), pa.array(own)], ["leaf", "fp", "own"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            x = b.column(0).to_numpy().view(np.uint64)
-            for leaf, rows, own in tree.route(x, np.ones(len(x), bool)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(x[rows].view(np.int64)), pa.array(own)], ["leaf", "fp", "own"])
+            held.append(b.column(0).to_numpy())
+            n += len(b)
+            if n >= ROUTED:  # a node of the tree is visited once for all of them
+                yield from routed(held)
+                held, n = [], 0
+        if held:
+            yield from routed(held)
 
     def search(t: pa.Table) -> pa.Table:
         x, own = t.column("fp").to_numpy().view(np.uint64), t.column("own").to_numpy(zero_copy_only=False)
@@ -201,35 +221,29 @@ def near_groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``.
+    """(doc_id, key, fp, component_id) for each row of ``docs``; key is its text's.
 
     component_id is the smallest doc_id among the rows reachable by fingerprints within ``radius`` bits. Equal texts
     share a fingerprint, so copies are one row in the search. Null, empty and blank texts have fingerprint zero and
-    link like any other. Rows with a null doc_id take part but never name a component (null if there is no other).
-    Repeated rows stay repeated. An empty table gives an empty result.
+    link like any other; texts of any length are hashed whole. Rows with a null doc_id take part but never name a
+    component (null if there is no other). Repeated rows stay repeated. Further columns of ``docs`` aren't read, so
+    their names don't matter. An empty table gives an empty result.
     """
+    return _grouped(docs, words, radius).select("doc_id", "key", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, radius: int) -> DataFrame:
     rows = materialise(fingerprints(docs, words))
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = near_groups(least, radius)
     named = materialise(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     first = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(named.join(first, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
+    return rows.join(named.join(first, "root").select("fp", "root", "component_id"), "fp")
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each group of near duplicates; rows without a doc_id stay.
 
-    Rows that repeat a doc_id are one document and leave one row.
-    """
-    from .common import without_ids
-
-    groups = materialise(near_duplicates(docs, **options))
-    kept = without_ids(docs, groups.where("doc_id <> component_id"))
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.limit(1).count():
-        return kept
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+def keep_one(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each group of fingerprints within ``radius`` bits, as common.keep_first() chooses it."""
+    return keep_first(docs, materialise(_grouped(docs, words, radius).select("doc_id", "key", "root")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, tune
+from .common import materialise, table, text_key, tune, without_rows
 
 #: Bound of the labelled rows that are fitted on (those with the smallest hash of doc_id), and of a lexicon.
 TRAIN_ROWS, LEXICON = 20_000, 4_000
@@ -239,16 +239,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) for each row of ``docs``; without a model every score is zero."""
+    """(doc_id, key, score) for each row of ``docs``, key being its text's; without a model every score is zero."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(model.lexicon) if model else None
         for b in batches:
-            s = model.score(rates(b.column(1), model.lexicon, words)) if model else np.zeros(len(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            s = model.score(rates(b.column(2), model.lexicon, words)) if model else np.zeros(len(b))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["doc_id", "key", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -257,22 +257,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``, learning from labels of rows not held out.
+    """(doc_id, key, held_out, score, predicted) for each row of ``docs``, learning from labels of rows not held out.
 
-    Null and empty texts are scored like any other; repeated rows get equal scores; empty tables give empty results.
+    Null and empty texts are scored like any other, and texts of any length whole; rows of equal text get equal scores,
+    whatever their doc_id; further columns of ``docs`` aren't read, so their names don't matter; empty tables give
+    empty results.
     """
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))), rows)
     found = score(docs, model)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= reject_at).cast("int").alias("predicted"))
+    return found.select("doc_id", "key", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= reject_at).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are predicted toxic; rows with a null doc_id stay, as no id names them."""
-    from .common import without_ids
-
-    return without_ids(docs, toxicity(docs, labels, **options).where("predicted = 1"))
+    """``docs`` without the rows whose text is predicted toxic; each row follows its own text, with or without a doc_id."""
+    return without_rows(docs, toxicity(docs, labels, **options).where("predicted = 1"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
-    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("key")
