@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, table, tune
 
+#: Characters of a word whose shape counts as one; longer words, such as texts without white space, are cut into such pieces.
+PIECE = 24
 #: Documents whose posteriors train the scorer (those with the smallest hash of doc_id and text), and hashed dimensions.
 TRAIN_ROWS, DIMS = 6_000, 2_048
 KEEP_AT = 0.5
@@ -138,20 +140,27 @@ class Dims(dict):
     shape, named, again = Shape(), Named(), re.compile(r"(.)\1+")
 
     def __missing__(self, w: str) -> tuple[int, int]:
-        out = (self.named["s" + self.again.sub(r"\1", w[:24].translate(self.shape))], self.named["e" + w[-2:]])
+        out = (self.named["s" + self.again.sub(r"\1", w.translate(self.shape))], self.named["e" + w[-2:]])
         if len(self) > 200_000:
             self.clear()
-        if len(w) <= 40:
-            self[w] = out
+        self[w] = out
         return out
 
 
 _dims = Dims()
 
 
+def pieces(text: str) -> list[str]:
+    """The text's words, those of more than PIECE characters cut."""
+    words = text.split()
+    if max(map(len, words), default=0) <= PIECE:
+        return words
+    return [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+
+
 def hashed(text: str) -> np.ndarray:
     """Shares of the text's words in each hashed dimension, and the words that repeat the one before."""
-    words = text.split()
+    words = pieces(text)
     if not words:
         return np.zeros(DIMS, np.float32)
     dims = np.array(list(map(_dims.__getitem__, words)))
@@ -162,22 +171,27 @@ def hashed(text: str) -> np.ndarray:
 
 
 def fit_scorer(x: np.ndarray, q: np.ndarray, rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression to soft labels by accelerated gradient descent; classes weigh the same."""
-    w, b, past = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1])
+    """Logistic regression to soft labels by accelerated gradient descent; classes weigh the same.
+
+    ``x`` is float32 and so is all that meets it, else every product would convert the whole matrix.
+    """
+    w, b, past = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32)
     share = float(np.clip(q.mean(), 0.01, 0.99)) if len(q) else 0.5
-    weight = q / share + (1 - q) / (1 - share)
+    weight = (q / share + (1 - q) / (1 - share)) / max(1, len(q))
+    back = np.ascontiguousarray(x.T)
     for _ in range(rounds if len(q) else 0):
-        g = weight * (1 / (1 + np.exp(-(x @ (w + 0.9 * past) + b))) - q) / len(q)
-        past = 0.9 * past - rate * (x.T @ g + decay * w)
+        g = weight * (1 / (1 + np.exp(-((x @ (w + np.float32(0.9) * past)).astype(float) + b))) - q)
+        past = np.float32(0.9) * past - np.float32(rate) * (back @ g.astype(np.float32) + np.float32(decay) * w)
         w, b = w + past, b - rate * g.sum()
-    return w.astype(np.float32), float(b)
+    return w, float(b)
 
 
 def quality(docs: DataFrame, rows: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
     """(doc_id, votes, posterior, score, keep) for each row of ``docs``.
 
-    Null, empty and blank texts get a vote against from every labeller. Repeated rows get equal results; a null doc_id
-    is a value like any other. An empty table gives an empty result.
+    Null, empty and blank texts get a vote against from every labeller. Texts of any length are read whole. Repeated
+    rows get equal results; a null doc_id is a value like any other. Further columns of ``docs`` aren't read, so their
+    names don't matter. An empty table gives an empty result.
     """
     found = materialise(voted(docs))
     # At most 3 to the number of labellers patterns reach the driver, counted over all documents.
