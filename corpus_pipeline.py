@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecweave.llm.common import shared_path, table
+from vecweave.llm.common import remove_path, shared_path, table
 from vecweave.llm.decontaminate import drop_contaminated
 from vecweave.llm.mixing import mixed
 from vecweave.llm.nearcopies import keep_one_near
@@ -50,9 +50,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage's rows are written as Parquet in the shared folder and read again.
+
+    A stage's folder goes once the next one is written; the last one and the token files are the result and stay.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := shared_path(spark, f"pipeline-{k}"))
         docs = spark.read.parquet(path)
+        if before:
+            remove_path(spark, before)
+        before = path
     return docs
