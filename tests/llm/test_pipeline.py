@@ -81,7 +81,8 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     mixed = spark.createDataFrame(given + rude + bad, SCHEMA)
     left = [tuple(r) for r in corpus_pipeline.toxic_out(spark, mixed, str(tmp_path)).collect()]
     scores = {(r.doc_id, r.key): r.predicted for r in toxicity.toxicity(mixed, table(spark, str(tmp_path), "labels")).collect()}
-    assert set(given) <= set(left) and not set(bad) & set(left) and len(left) == len(given) + sum(not y for _, y in labels) and sum(scores.values()) > 90
+    assert set(given) <= set(left) and not set(bad) & set(left)
+    assert len(left) == len(given) + sum(not y for _, y in labels) and sum(scores.values()) > 90
     # Mixing: whole rows with their own values, repeated by source.
     copies = corpus_pipeline.sources_mixed(spark, docs, DATA)
     assert copies.schema == docs.schema and {tuple(r) for r in copies.collect()} <= set(given)
