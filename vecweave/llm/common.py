@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 #: Rows and bytes of one Arrow batch, so that a batch of long texts stays small in a Python worker.
-BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 2 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:

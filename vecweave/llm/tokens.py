@@ -32,7 +32,7 @@ from .common import materialise, shared_path, table, tune
 END_ID = 2
 LEVEL = 1
 #: Pieces whose ids a Python worker remembers; when full, it starts afresh.
-PIECES = 800_000
+PIECES = 300_000
 #: Fixed values of zstandard's seekable format.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 

@@ -24,6 +24,8 @@ TRAIN_ROWS, LEXICON = 20_000, 4_000
 REJECT_AT = 0.7
 #: A word is in the lexicon if it is in so many toxic documents and its smoothed log odds reach the bound.
 LEAST, ODDS, STRONG = 6, 2.5, 4.0
+#: Words whose counts a worker gathers before it gives them out.
+COUNTED = 60_000
 TREES, DEPTH, BINS, RATE = 80, 3, 32, 0.15
 
 INSULTS = frozenset("idiot idiots moron stupid dumb loser trash scum worthless pathetic disgusting ugly fool kill hate shut freak clown dummkopf arschloch connard imbécile estúpido imbécil".split())
@@ -63,7 +65,7 @@ class Words(dict):
         odd = plain != word and any(c.isalpha() for c in word)
         hit = odd and not odds and not insult and (self.odds(plain) >= STRONG or plain in INSULTS)
         out = (self.odds(plain) if hit else odds, insult or hit, word in YOU, odd, hit, len(written) > 2 and written.isupper())
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         if len(written) <= 40:
             self[written] = out
@@ -191,14 +193,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both: dict[tuple[int, int], Counter] = {(h, t): Counter() for h in (0, 1) for t in (0, 1)}
+
+        def told(least: int) -> Iterator[pa.RecordBatch]:
+            for (h, t), c in both.items():
+                if len(c) >= least:
+                    part = list(c)
+                    yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.string()), "half": pa.array([h] * len(part), pa.int32()), "toxic": pa.array([t] * len(part), pa.int32()), "n": pa.array([c[w] for w in part], pa.int64())})
+                    c.clear()
+
         for b in batches:
             for t, text, h in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 both[h, t].update({s for w in set(_WORD.findall(text.lower())) for s in stems(w)})
-        for (h, t), c in both.items():
-            keys = list(c)
-            for k in range(0, len(keys), 50_000):
-                part = keys[k : k + 50_000]
-                yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.string()), "half": pa.array([h] * len(part), pa.int32()), "toxic": pa.array([t] * len(part), pa.int32()), "n": pa.array([c[w] for w in part], pa.int64())})
+            yield from told(COUNTED)  # counts of a word are added up later, so a worker holds a bounded number
+        yield from told(1)
 
     sizes = {(r.half, r.toxic): r["count"] for r in held.groupBy("half", "toxic").count().collect()}
     if not any(n for (_, t), n in sizes.items() if t == 1) or not any(n for (_, t), n in sizes.items() if t == 0):
