@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from ..functions.sets import signature, within
 from ..session import materialise
 from . import kernels as K
-from .graph import both_ways, oriented
+from .graph import both_ways, degrees, oriented
 
 CLIQUE = "clique array<long>, sum_q long"
+#: Neighbours of a vertex up to which its neighbourhood may be one row of a task.
+HUB = 20_000
 ALGORITHMS = ("layered", "layered_canonical", "canonical", "visited", "strsub", "sem_bk", "host_canonical")
 
 
@@ -215,7 +217,7 @@ def msc(sims: DataFrame, tau_q: int, algorithm: str = "auto", budget: int = K.BU
 
     layered, layered_canonical: joins level by level. canonical, visited: searches from supporting pairs in the
     neighbourhood of each pair's vertex of smaller degree. strsub, host_canonical: searches inside structural maximal
-    cliques. sem_bk: visits all cliques. auto: by the share of pairs that reach the threshold.
+    cliques. sem_bk: visits all cliques. auto: by the largest degree and the share of pairs that reach the threshold.
     """
     if algorithm == "auto":
         algorithm = choose(sims, tau_q)
@@ -238,9 +240,12 @@ def msc(sims: DataFrame, tau_q: int, algorithm: str = "auto", budget: int = K.BU
     return found if algorithm == "sem_bk" else maximal_only(found)
 
 
-def choose(sims: DataFrame, tau_q: int, share: float = 0.1) -> str:
-    """Few supporting pairs: search from them; many: search inside structural cliques."""
+def choose(sims: DataFrame, tau_q: int, share: float = 0.1, hub: int = HUB) -> str:
+    """A vertex whose neighbourhood is too large for a row: levels of joins. Else few supporting pairs: search from them;
+    many: search inside structural cliques."""
     n, up = sims.agg(F.count("*"), F.coalesce(F.sum((F.col("sim_q") >= tau_q).cast("long")), F.lit(0))).first()
+    if n > hub and degrees(sims).agg(F.max("degree")).first()[0] > hub:
+        return "layered_canonical"
     return "canonical" if not n or up / n <= share else "host_canonical"
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
+#: Edges of a graph that one task may hold (about 100 MB there).
+IN_TASK = 1_000_000
+
 
 def canonical(raw: DataFrame) -> DataFrame:
     """Each undirected edge once, smaller end first; loops and rows with a null end go."""
@@ -44,31 +49,87 @@ def oriented(edges: DataFrame, *carried: str) -> DataFrame:
     return e.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("a"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("b"), *carried)
 
 
-def triangles(edges: DataFrame) -> DataFrame:
-    """(a, b, c) once for each triangle; wedges are formed at the end of smaller degree only."""
-    o = oriented(edges)
-    wedge = o.select("a", "b").join(o.select("a", F.col("b").alias("c")), "a").where("b < c")
-    return wedge.join(edges.select(F.col("u").alias("b"), F.col("v").alias("c")), ["b", "c"], "left_semi").select("a", "b", "c")
+def common_out(edges: DataFrame) -> DataFrame:
+    """(a, b, cs): for each edge the vertices that close a triangle with it, each triangle at its first edge only.
 
+    Every vertex holds its edges out as one array, at most about sqrt(2E) of them, and an edge meets the two arrays of its
+    ends: no wedge is a row of its own.
+    """
+    o = materialise(oriented(edges).select("a", "b"))
+    out = materialise(o.groupBy("a").agg(F.collect_list("b").alias("out")))
+    sent = out.select("a", "out", F.explode("out").alias("b")).where("size(out) > 1")
+    met = sent.join(out.select(F.col("a").alias("b"), F.col("out").alias("theirs")), "b")
+    return met.select("a", "b", F.array_intersect("out", "theirs").alias("cs")).where("size(cs) > 0")
 
-def cores(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(a, b, c) once for each triangle."""
+    return common_out(edges).select("a", "b", F.explode("cs").alias("c"))
+
+
+def triangle_counts(edges: DataFrame) -> DataFrame:
+    """(id, triangles) of each vertex that is in one."""
+    found = common_out(edges)
+    ends = found.select(F.explode(F.array("a", "b")).alias("id"), F.size("cs").cast("long").alias("n"))
+    return ends.unionByName(found.select(F.explode("cs").alias("id"), F.lit(1).cast("long").alias("n"))).groupBy("id").agg(F.sum("n").alias("triangles"))
+
+
+def peeled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, core numbers) of a graph in memory: the vertex of smallest remaining degree goes first, time linear in edges."""
+    ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    both, other = np.concatenate([a, b]), np.concatenate([b, a])
+    nbrs = other[np.argsort(both, kind="stable")].tolist()
+    degree = np.bincount(both, minlength=len(ids))
+    at = np.concatenate([[0], np.cumsum(degree)]).tolist()
+    core, gone = degree.tolist(), [False] * len(ids)
+    waiting: list[list[int]] = [[] for _ in range(int(degree.max(initial=0)) + 1)]
+    for x, d in enumerate(core):
+        waiting[d].append(x)
+    d = 0
+    while d < len(waiting):
+        if not waiting[d]:
+            d += 1
+            continue
+        x = waiting[d].pop()
+        if gone[x] or core[x] != d:  # it has moved to a smaller degree since
+            continue
+        gone[x] = True
+        for y in nbrs[at[x] : at[x + 1]]:
+            if core[y] > d:
+                core[y] -= 1
+                waiting[core[y]].append(y)
+    return ids, np.array(core, np.int64)
+
+
+def cores(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """(id, core): each vertex's core number; the largest is the graph's degeneracy.
 
-    Every vertex holds an upper bound, at first its degree, and lowers it to the largest h such that h neighbours hold
-    h or more, until nothing changes. Rounds are checkpoints; their number is small in practice and bounded.
+    A graph of at most ``in_task`` edges, which a count shows, is peeled in one task. In a larger one every vertex holds
+    an upper bound, at first its degree, and lowers it to the largest h such that h neighbours hold h or more, until
+    nothing changes, however long that takes; a round looks only at vertices with a neighbour that moved in the last
+    one. Rounds are checkpoints; their number is small but where long chains hang on the graph.
     """
+    if edges.limit(in_task + 1).count() <= in_task:
+        def peel(t: pa.Table) -> pa.Table:
+            ids, core = peeled(t.column("u").to_numpy(), t.column("v").to_numpy())
+            return pa.table({"id": pa.array(ids), "core": pa.array(core)})
+
+        return edges.select(F.lit(0).alias("one"), "u", "v").groupBy("one").applyInArrow(peel, "id long, core long")
     adj = materialise(both_ways(edges))
     now = materialise(adj.groupBy("id").agg(F.count("*").cast("long").alias("core")))
-    for _ in range(max_rounds):
-        seen = adj.join(now.select(F.col("id").alias("nbr"), F.col("core").alias("theirs")), "nbr").groupBy("id", "theirs").agg(F.count("*").alias("n"))
+    loose = now.select("id")
+    while True:
+        seen = adj.join(loose, "id", "left_semi").join(now.select(F.col("id").alias("nbr"), F.col("core").alias("theirs")), "nbr").groupBy("id", "theirs").agg(F.count("*").alias("n"))
         # Counts by value, from the largest down: h is the largest min(value, neighbours with that value or more).
         at_least = F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("theirs")))
         h = seen.withColumn("h", F.least("theirs", at_least)).groupBy("id").agg(F.max("h").alias("h"))
-        after = materialise(now.join(h, "id").select("id", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")))
-        if not after.where("moved").limit(1).count():
-            return after.select("id", "core")
+        after = materialise(now.join(h, "id", "left").select("id", F.least("core", F.coalesce("h", "core")).alias("core"), F.coalesce(F.col("h") < F.col("core"), F.lit(False)).alias("moved")))
+        moved = after.where("moved").select(F.col("id").alias("nbr"))
         now = after.select("id", "core")
-    raise RuntimeError(f"core numbers did not settle in {max_rounds} rounds")
+        if not moved.limit(1).count():
+            return now
+        loose = materialise(adj.join(moved, "nbr", "left_semi").select("id").distinct())
 
 
 def audit(raw: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -79,7 +140,7 @@ def audit(raw: DataFrame, vertices: DataFrame) -> DataFrame:
     d = degrees(edges).agg(
         F.coalesce((F.sum("degree") / 2).cast("long"), F.lit(0)).alias("edges"), F.coalesce(F.max("degree"), F.lit(0)).alias("max_degree"), F.coalesce(F.sum(F.expr("degree * (degree - 1) div 2")), F.lit(0)).alias("wedges")
     )
-    t = triangles(edges).agg(F.count("*").alias("triangles"))
+    t = common_out(edges).agg(F.coalesce(F.sum(F.size("cs")), F.lit(0)).alias("triangles"))
     one = rows.join(F.broadcast(n)).join(F.broadcast(d)).join(F.broadcast(t))  # one row each
     return one.select(
         "vertices", "input_rows", "self_loops", (F.col("input_rows") - F.col("self_loops") - F.col("edges")).alias("duplicate_edges"), "edges",
@@ -97,18 +158,23 @@ def forward_degree(edges: DataFrame) -> DataFrame:
     return top.join(F.broadcast(out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_forward_degree"))))
 
 
-def compact_ids(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vertex_map(orig_id, id), edges) with ids 0, 1, ... in the order of the old ones.
+def placed(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with ``place``, from 0, in the given order, which must tell all rows apart.
 
-    Ranks come from range partitions and their sizes, so no task holds all vertices.
+    Places come from range partitions and their sizes, so no task holds all rows, nor all that agree in a part of the order.
     """
-    ids = vertices.select(F.col("id").alias("orig_id")).distinct()
-    dealt = materialise(ids.repartitionByRange("orig_id").sortWithinPartitions("orig_id").select("orig_id", F.spark_partition_id().alias("p")))
-    sizes = dealt.groupBy("p").agg(F.count("*").alias("n"))
+    dealt = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
     # One row for each partition.
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("p").orderBy("orig_id")) - 1
-    mapped = materialise(dealt.withColumn("place", place).join(F.broadcast(before.select("p", "before")), "p").select("orig_id", (F.col("before") + F.col("place")).alias("id")))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return dealt.withColumn("_w", within).join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("place", F.col("_before") + F.col("_w")).drop("_p", "_w", "_before")
+
+
+def compact_ids(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertex_map(orig_id, id), edges) with ids 0, 1, ... in the order of the old ones."""
+    ids = vertices.select(F.col("id").alias("orig_id")).distinct()
+    mapped = materialise(placed(ids, [F.col("orig_id")]).select("orig_id", F.col("place").alias("id")))
     return mapped, relabelled(edges, mapped)
 
 
@@ -125,17 +191,25 @@ def induced(edges: DataFrame, some: DataFrame) -> DataFrame:
 def degree_ranks(edges: DataFrame, vertices: DataFrame, n: int | None = None) -> DataFrame:
     """(id, degree, rank) with ranks from 1 by falling degree, then id; the first ``n`` only if given.
 
-    With ``n`` each task keeps its own first n before they meet. Without, ranks are degree counts above plus the place
-    within the degree, so one task holds the vertices of one degree at most.
+    With ``n`` each task keeps its own first n before they meet. Without, vertices are dealt by ranges of degree and id
+    together, so the many vertices of degree one are in many tasks.
     """
     d = degrees(edges, vertices)
+    order = [F.desc("degree"), F.asc("id")]
     if n is not None:
-        top = d.orderBy(F.desc("degree"), "id").limit(n)
-        return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("degree"), "id")))
-    sizes = d.groupBy("degree").agg(F.count("*").alias("n"))
-    above = sizes.withColumn("above", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("degree", "above")
-    place = F.row_number().over(Window.partitionBy("degree").orderBy("id"))
-    return d.withColumn("place", place).join(above, "degree").select("id", "degree", (F.col("above") + F.col("place")).cast("int").alias("rank"))
+        return d.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return placed(d, order).select("id", "degree", (F.col("place") + 1).cast("int").alias("rank"))
+
+
+def nested_graphs(edges: DataFrame, vertices: DataFrame, sizes: list[int]) -> DataFrame:
+    """(size, id, orig_id, vec): for each size the first vertices(id, vec) by rank with ids from 0 in the order of the old
+    ones, and their vectors with them; nested_levels() has the edges, relabelled() gives them the new ids."""
+    r = degree_ranks(edges, vertices).where(F.col("rank") <= max(sizes, default=0)).select("id", "rank")
+    level = F.filter(F.array(*map(F.lit, sizes)), lambda s: s >= F.col("rank"))
+    rows = vertices.select("id", "vec").join(r, "id").select(F.explode(level).alias("size"), F.col("id").alias("orig_id"), "vec")
+    first = placed(rows.select("size", "orig_id"), [F.col("size"), F.col("orig_id")])
+    start = first.groupBy("size").agg(F.min("place").alias("start"))  # a row for each size
+    return rows.join(first, ["size", "orig_id"]).join(F.broadcast(start), "size").select("size", (F.col("place") - F.col("start")).alias("id"), "orig_id", "vec")
 
 
 def nested_levels(edges: DataFrame, ranks: DataFrame, sizes: list[int]) -> DataFrame:
@@ -146,37 +220,49 @@ def nested_levels(edges: DataFrame, ranks: DataFrame, sizes: list[int]) -> DataF
     return e.select(F.explode(level).alias("size"), "u", "v")
 
 
-def co_occurrence(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """(u, v) for each two items that share a group. Each group is one row of distinct items, so it is read once.
+def pairs_within(rows: DataFrame, items: str, *carried: str) -> DataFrame:
+    """(u, v, *carried) for each two elements of the array ``items``, the earlier first; a row holds the pairs of no more
+    than one element at a time."""
+    each = rows.select(*carried, F.col(items).alias("_x"), F.posexplode(items).alias("_i", "u"))
+    rest = each.select(*carried, "u", F.expr("slice(_x, _i + 2, size(_x))").alias("_r"))
+    return rest.select("u", F.explode("_r").alias("v"), *carried)
 
-    Pairs are made from the sorted items of a group; a group is meant to be small, such as the authors of a paper.
-    """
+
+def co_occurrence(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """(u, v) for each two items that share a group. Each group is one row of distinct items, so it is read once."""
     sets = rows.where(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(F.col(item).cast("long"))).alias("items"))
-    two = F.expr("flatten(transform(items, (a, i) -> transform(slice(items, i + 2, size(items)), b -> struct(a as u, b as v))))")
-    return sets.select(F.explode(two).alias("e")).select("e.u", "e.v").distinct()
+    return pairs_within(sets, "items").distinct()
+
+
+def unit_interval(*of) -> Column:
+    """A number in [0, 1) from the MD5 of the given columns, the same in every engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in of))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def sampled(vertices: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
     """The vertices whose hash falls below ``ratio``; the same ones in every run."""
-    return vertices.where(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_003)) < int(ratio * 1_000_003))
+    return vertices.where(unit_interval(F.lit(seed), "id") < ratio)
 
 
-def bfs_expansion(edges: DataFrame, start: int, checkpoints: list[int], max_rounds: int = 1000) -> dict[int, DataFrame]:
+def bfs_expansion(edges: DataFrame, start: int, checkpoints: list[int]) -> dict[int, DataFrame]:
     """For each edge count, the edges that a breadth-first walk from ``start`` has met in the first level to reach it.
 
-    A level's edges are those with an end in the frontier. Each level is a checkpoint. If the walk ends early, what it
-    has met stands for the counts that are left.
+    A level's edges are those with an end in the frontier. Each level is a checkpoint, and the walk goes on for as many
+    levels as it takes. If it ends early, as all that can be reached is met, that stands for the counts that are left.
     """
     adj = materialise(both_ways(edges))
     frontier = edges.sparkSession.createDataFrame([(start,)], "id long")
-    seen, met, out = frontier, edges.limit(0).select("u", "v"), {}
-    for _ in range(max_rounds):
-        out_edges = adj.join(frontier, "id", "left_semi").select(F.least("id", "nbr").alias("u"), F.greatest("id", "nbr").alias("v"))
-        met = materialise(met.unionByName(out_edges).distinct())
-        n = met.count()
+    seen, met, out, n = frontier, None, {}, 0
+    while True:
+        # An edge is met first from the end that is reached first; between two vertices of one level it is met twice.
+        level = adj.join(frontier, "id", "left_semi").join(seen.select(F.col("id").alias("nbr")).join(frontier.select(F.col("id").alias("nbr")), "nbr", "left_anti"), "nbr", "left_anti")
+        level = materialise(level.select(F.least("id", "nbr").alias("u"), F.greatest("id", "nbr").alias("v"), "nbr").distinct())
+        fresh = level.select("u", "v").distinct()
+        n += fresh.count()
+        met = fresh if met is None else met.unionByName(fresh)
         out.update({k: met for k in checkpoints if k not in out and n >= k})
-        frontier = materialise(adj.join(frontier, "id", "left_semi").select(F.col("nbr").alias("id")).distinct().join(seen, "id", "left_anti"))
+        frontier = materialise(level.select(F.col("nbr").alias("id")).distinct().join(seen, "id", "left_anti"))
         if len(out) == len(checkpoints) or not frontier.limit(1).count():
-            break
+            return {k: out.get(k, met) for k in checkpoints}
         seen = materialise(seen.unionByName(frontier))
-    return {k: out.get(k, met) for k in checkpoints}
+        met = materialise(met)

@@ -131,55 +131,57 @@ def canonical(adj: list[int], w: list[dict[int, int]], name: list[int], roots: l
     """Feasible sets without a feasible extension by one vertex, each reached once from a pair of ``roots``.
 
     A set's parent lacks the member with the smallest (sum of links inside, name); this never lowers the average, so
-    parents are feasible. A child is followed only from its parent.
+    parents are feasible. A child is followed only from its parent. ``w`` has the adjacent vertices of each vertex and no
+    others. A state carries each candidate's sum of links to its members, so a test is one comparison.
     """
     steps, counters = steps or Steps(), counters if counters is not None else {}
-    for key in ("states", "tests", "rejects", "terminals"):
-        counters.setdefault(key, 0)
+    states = tests = rejects = terminals = 0
     stack = []
     for a, b in roots:
-        s = w[a][b]
-        cand = adj[a] & adj[b]
-        stack.append(((a, b), (s, s), s, cand))
-    while stack:
-        c, inner, s, cand = stack.pop()
-        steps()
-        counters["states"] += 1
-        k, extends = len(c), False
-        for v in bits(cand):
-            links = [w[v][u] for u in c]
-            add = sum(links)
-            counters["tests"] += 1
-            if not feasible(s + add, k + 1, tau):
-                continue
-            extends = True  # before the test of ownership
-            grown = [i + x for i, x in zip(inner, links, strict=True)]
-            mine = (add, name[v])
-            if any((g, name[u]) < mine for g, u in zip(grown, c, strict=True)):
-                counters["rejects"] += 1
-                continue
-            stack.append(((*c, v), (*grown, add), s + add, cand & adj[v]))
-        if not extends:
-            counters["terminals"] += 1
-            yield c, s
+        s, wa, wb = w[a][b], w[a], w[b]
+        stack.append(((a, b), (s, s), s, [(v, wa[v] + wb[v]) for v in bits(adj[a] & adj[b])]))
+    try:
+        while stack:
+            c, inner, s, cand = stack.pop()
+            steps()
+            states += 1
+            tests += len(cand)
+            k, extends = len(c), False
+            # 2 (s + gain) >= tau (k + 1) k, so a candidate needs this gain at least.
+            need = -((2 * s - tau * (k + 1) * k) // 2)
+            for v, add in cand:
+                if add < need:
+                    continue
+                extends = True  # before the test of ownership
+                wv, mine = w[v], (add, name[v])
+                grown = [i + wv[u] for i, u in zip(inner, c, strict=True)]
+                if min(grown) <= add and any((g, name[u]) < mine for g, u in zip(grown, c, strict=True)):
+                    rejects += 1
+                    continue
+                stack.append(((*c, v), (*grown, add), s + add, [(x, g + wv[x]) for x, g in cand if x in wv]))
+            if not extends:
+                terminals += 1
+                yield c, s
+    finally:
+        for key, n in zip(("states", "tests", "rejects", "terminals"), (states, tests, rejects, terminals), strict=True):
+            counters[key] = counters.get(key, 0) + n
 
 
 def visited(adj: list[int], w: list[dict[int, int]], roots: list[tuple[int, int]], tau: int, steps: Steps | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
     """As canonical(), but remembering every set seen instead of testing for the parent."""
     steps, seen = steps or Steps(), set()
-    stack = [((1 << a) | (1 << b), w[a][b], adj[a] & adj[b]) for a, b in roots]
+    stack = [((1 << a) | (1 << b), w[a][b], 2, [(v, w[a][v] + w[b][v]) for v in bits(adj[a] & adj[b])]) for a, b in roots]
     while stack:
-        c, s, cand = stack.pop()
+        c, s, k, cand = stack.pop()
         if c in seen:
             continue
         seen.add(c)
         steps()
-        k, extends = c.bit_count(), False
-        for v in bits(cand):
-            add = sum(w[v][u] for u in bits(c))
-            if feasible(s + add, k + 1, tau):
-                extends = True
-                stack.append((c | 1 << v, s + add, cand & adj[v]))
+        need, extends = -((2 * s - tau * (k + 1) * k) // 2), False
+        for v, add in cand:
+            if add >= need:
+                extends, wv = True, w[v]
+                stack.append((c | 1 << v, s + add, k + 1, [(x, g + wv[x]) for x, g in cand if x in wv]))
         if not extends:
             yield tuple(bits(c)), s
 
@@ -256,7 +258,7 @@ def solve_host(members: list[int], w: list[list[int]], tau: int, method: str = "
         return
     full = (1 << m) - 1
     adj = [full & ~(1 << i) for i in range(m)]
-    rows = [dict(enumerate(r)) for r in w]
+    rows = [{j: x for j, x in enumerate(r) if j != i} for i, r in enumerate(w)]
     yield from canonical(adj, rows, members, [(i, j) for i, j in combinations(range(m), 2) if w[i][j] >= tau], tau, steps=Steps(budget))
 
 

@@ -51,9 +51,19 @@ def label_measures(groups: DataFrame, labels: DataFrame, entropy_base: Column |
 
 
 def pair_rows(groups: DataFrame) -> DataFrame:
-    """(gid, u, v) for each two members, u < v; groups are result sets of bounded size."""
-    two = F.expr("flatten(transform(array_sort(members), (a, i) -> transform(slice(array_sort(members), i + 2, size(members)), b -> struct(a as u, b as v))))")
-    return groups.select("gid", F.explode(two).alias("p")).select("gid", "p.u", "p.v")
+    """(gid, u, v) for each two members, u < v."""
+    from .graph import pairs_within
+
+    return pairs_within(groups.select("gid", F.array_sort("members").alias("m")), "m", "gid").select("gid", "u", "v")
+
+
+def pooled_measures(measured: DataFrame) -> DataFrame:
+    """(groups, pooled_density, pooled_avg_q, exact_share) of edge_measures() rows: density and similarity weighted by pairs
+    of members, and the share of groups of two or more that have all pairs."""
+    pairs = pairs_of(F.col("size"))
+    ratio = lambda c: F.round(F.sum(c) / F.sum(pairs), PLACES)
+    exact = F.round(F.avg((F.col("inside") == pairs).cast("double")), PLACES)
+    return measured.where("size >= 2").agg(F.count("*").alias("groups"), ratio("inside").alias("pooled_density"), ratio("sum_q").alias("pooled_avg_q"), exact.alias("exact_share"))
 
 
 def edge_measures(groups: DataFrame, sims: DataFrame) -> DataFrame:
@@ -101,11 +111,10 @@ def multi_grain(measured: DataFrame) -> DataFrame:
     ``measured`` has size, purity, agreeing and pairs.
     """
     m = measured.withColumn("bin", size_bin(F.col("size")))
-    m.createOrReplaceTempView("vecweave_measured")
-    return m.sparkSession.sql(f"""
-        SELECT CASE grouping_id(bin, size) WHEN 1 THEN 'bin' WHEN 2 THEN 'size' ELSE 'all' END AS grain, bin, size, count(*) AS groups,
-               round(avg(purity), {PLACES}) AS mean_purity, round(sum(agreeing) / sum(pairs), {PLACES}) AS pooled_agreement
-        FROM vecweave_measured GROUP BY GROUPING SETS ((bin), (size), ())""")
+    grain = F.when(F.grouping("bin") == 0, "bin").when(F.grouping("size") == 0, "size").otherwise("all")
+    sets = m.groupingSets([["bin"], ["size"], []], "bin", "size")
+    found = sets.agg(grain.alias("grain"), F.count("*").alias("groups"), F.round(F.avg("purity"), PLACES).alias("mean_purity"), F.round(F.sum("agreeing") / F.sum("pairs"), PLACES).alias("pooled_agreement"))
+    return found.select("grain", "bin", "size", "groups", "mean_purity", "pooled_agreement")
 
 
 def histogram(groups: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import pairs_within
 from ..operators.similarity import sim_edges
 
 RING, BAND = 6, 64
@@ -43,8 +44,7 @@ def sims(spark: SparkSession, sf_dir: str, graph: str = "ring") -> DataFrame:
 def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(u, v) of parts for each two lines of an order, loops and repeats included; an order has a few lines."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x"))
-    two = F.expr("flatten(transform(x, (a, i) -> transform(slice(x, i + 2, size(x)), b -> struct(a.l_partkey as u, b.l_partkey as v))))")
-    return lines.select(F.explode(two).alias("p")).select("p.u", "p.v")
+    return pairs_within(lines, "x").select(F.col("u.l_partkey").alias("u"), F.col("v.l_partkey").alias("v"))
 
 
 #: The same in SQL.

@@ -109,7 +109,7 @@ def read_zip(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 
 
 def read_cover(spark: SparkSession, path: str, form: str = "plain", strict: bool = True) -> DataFrame:
-    """groups(gid, members): "v1 v2 ...", "size" with the count first, or "solution" for lines that begin with Sol:.
+    """groups(gid, members), gid being the sorted members: "v1 v2 ...", "size" with the count first, or "solution" for lines that begin with Sol:.
 
     With ``strict`` a wrong count, a repeated vertex or a field that is no number raises.
     """
@@ -123,7 +123,8 @@ def read_cover(spark: SparkSession, path: str, form: str = "plain", strict: bool
         f = f.withColumn("k", F.size("f").cast("long"))
     bad = F.exists("f", lambda x: x.isNull()) | F.col("k").isNull() | (F.col("k") != F.size("f")) | (F.size(F.array_distinct("f")) != F.size("f"))
     f = f.withColumn("f", F.when(bad, F.raise_error(F.concat(F.lit("bad group: "), "value")).cast("array<bigint>")).otherwise(F.col("f"))) if strict else f.where(~bad)
-    return f.select(F.monotonically_increasing_id().alias("gid"), F.col("f").alias("members"))
+    # The members name the group, so that a file read anew gives the same gid.
+    return f.select(F.array_join(F.array_sort("f").cast("array<string>"), ",").alias("gid"), F.col("f").alias("members"))
 
 
 def write_cover(found: DataFrame, path: str, form: str = "plain") -> None:
@@ -153,16 +154,47 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str, form: str = "n
 
 
 def write_csr(vertices: DataFrame, edges: DataFrame, path: str) -> None:
-    """Binary: unsigned 32-bit little-endian 4, V, 2 E, all degrees, all neighbour lists; written in one stream by row."""
+    """Binary: unsigned 32-bit little-endian 4, V, 2 E, all degrees, all neighbour lists.
+
+    Tasks write degrees and lists of a range of ids each; as the format is one file, their bytes are then strung together
+    once, a block at a time, by the order of the ranges. Ids must be 0 .. V - 1.
+    """
     import struct
+    import uuid
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
 
     from ..operators.graph import both_ways
-    from .vectors import open_out
+    from ..session import materialise
+    from .vectors import open_fs, open_out
+
+    folder = f"{path}.parts-{uuid.uuid4().hex}"
+    d = vertices.join(both_ways(edges).groupBy("id").agg(F.array_sort(F.collect_list("nbr")).alias("n")), "id", "left")
+    d = d.select("id", F.coalesce("n", F.array().cast("array<long>")).alias("n")).repartitionByRange("id").sortWithinPartitions("id")
 
-    d = vertices.join(both_ways(edges).groupBy("id").agg(F.array_sort(F.collect_list("nbr")).alias("n")), "id", "left").orderBy("id")
+    def write(batches):
+        part, name, outs = TaskContext.get().partitionId(), uuid.uuid4().hex, None
+        for b in batches:
+            if outs is None:
+                outs = [open_out(f"{folder}/{name}.{k}") for k in ("degrees", "lists")]
+            n = b.column(1)
+            outs[0].write(np.diff(n.offsets.to_numpy()).astype("<u4").tobytes())
+            outs[1].write(n.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+        if outs is not None:
+            for o in outs:
+                o.close()
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name]})
+
+    parts = materialise(d.mapInArrow(write, "part int, name string")).orderBy("part").collect()  # a row for each task
+    fs, base = open_fs(folder)
     with open_out(path) as out:
         out.write(struct.pack("<III", 4, vertices.count(), 2 * edges.count()))
-        for r in d.select(F.coalesce(F.size("n"), F.lit(0)).alias("k")).toLocalIterator():
-            out.write(struct.pack("<I", max(0, r.k)))
-        for r in d.select("n").toLocalIterator():
-            out.write(struct.pack(f"<{len(r.n or [])}I", *(r.n or [])))
+        for kind in ("degrees", "lists"):
+            for r in parts:
+                with fs.open_input_stream(f"{base}/{r.name}.{kind}", compression=None) as f:
+                    while block := f.read(4 << 20):
+                        out.write(block)
+    if parts:
+        fs.delete_dir(base)

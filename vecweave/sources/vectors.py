@@ -194,9 +194,11 @@ def filled(vectors: DataFrame, vertices: DataFrame, dim: int) -> DataFrame:
 
 
 def random_vectors(vertices: DataFrame, dim: int = 256, seed: int = 42) -> DataFrame:
-    """(id, vec) uniform on [-1, 1) from hashes of seed, id and position; the same in every run and partitioning."""
+    """(id, vec) uniform on [-1, 1) from MD5 of seed, id and position; the same in every run, partitioning and engine."""
+    from ..operators.graph import unit_interval
+
     position = F.sequence(F.lit(0), F.lit(dim - 1))
-    return vertices.select("id", F.transform(position, lambda j: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), j), F.lit(1 << 53)) / float(1 << 52) - 1.0).alias("vec"))
+    return vertices.select("id", F.transform(position, lambda j: unit_interval(F.lit(seed), "id", j) * 2.0 - 1.0).alias("vec"))
 
 
 def text_vectors(texts: DataFrame, dim: int = 256, encoder=None) -> DataFrame:
@@ -206,7 +208,7 @@ def text_vectors(texts: DataFrame, dim: int = 256, encoder=None) -> DataFrame:
     """
     if encoder is None:
         words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)))
+        at = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 13), 16, 10).cast("long"), F.lit(dim)))
         counts = texts.select("id", F.posexplode_outer(at).alias("p", "k")).groupBy("id", "k").agg(F.count("p").alias("n")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n")))).alias("m"))
         dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.coalesce(F.try_element_at("m", j.cast("long")), F.lit(0)).cast("double"))
         from ..functions.vectors import normalised
