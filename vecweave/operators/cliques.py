@@ -240,7 +240,7 @@ def msc(sims: DataFrame, tau_q: int, algorithm: str = "auto", budget: int = K.BU
     return found if algorithm == "sem_bk" else maximal_only(found)
 
 
-def choose(sims: DataFrame, tau_q: int, share: float = 0.1, hub: int = HUB) -> str:
+def choose(sims: DataFrame, tau_q: int, share: float = 0.3, hub: int = HUB) -> str:
     """A vertex whose neighbourhood is too large for a row: levels of joins. Else few supporting pairs: search from them;
     many: search inside structural cliques."""
     n, up = sims.agg(F.count("*"), F.coalesce(F.sum((F.col("sim_q") >= tau_q).cast("long")), F.lit(0))).first()

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-#: Edges of a graph that one task may hold (about 100 MB there).
-IN_TASK = 1_000_000
+#: Edges of a graph that one task may hold (about 200 MB there).
+IN_TASK = 2_000_000
 
 
 def canonical(raw: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def peeled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = ends[: len(u)], ends[len(u) :]
     both, other = np.concatenate([a, b]), np.concatenate([b, a])
-    nbrs = other[np.argsort(both, kind="stable")].tolist()
+    nbrs = other[np.argsort(both, kind="stable")].astype(np.int32)
     degree = np.bincount(both, minlength=len(ids))
     at = np.concatenate([[0], np.cumsum(degree)]).tolist()
     core, gone = degree.tolist(), [False] * len(ids)
@@ -95,7 +95,7 @@ def peeled(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if gone[x] or core[x] != d:  # it has moved to a smaller degree since
             continue
         gone[x] = True
-        for y in nbrs[at[x] : at[x + 1]]:
+        for y in nbrs[at[x] : at[x + 1]].tolist():
             if core[y] > d:
                 core[y] -= 1
                 waiting[core[y]].append(y)

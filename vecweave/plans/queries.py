@@ -15,9 +15,10 @@ from ..operators import graph as G
 from ..operators import quality as Q
 from ..operators import runs as R
 from ..operators import similarity as S
-from ..session import materialise
-from ..sources.vectors import random_vectors, text_vectors
-from .graphs import FAMILY, PARTS, RAW_PARTS, band, ctes, order_pairs, ring, sims, table, vertices
+from ..session import materialise, shared_path
+from ..sources import text as T
+from ..sources.vectors import random_vectors, read_vector_text, read_vectors, text_vectors, write_vectors
+from .graphs import E0, FAMILY, PARTS, RAW_PARTS, band, ctes, order_pairs, ring, sims, table, vertices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,10 +109,10 @@ def terminals(spark, sf_dir):
     return family(C.layers(s, S.tau_value(s, 80), owned=True).where("terminal"))
 
 
-@query("search_counters", ctes("ring", 80) + "SELECT (SELECT count(*) FROM f) AS states, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.v = f.c[1] AND m.k = f.k + 1 AND list_has_all(m.c, f.c))) AS terminals")
+@query("search_counters", ctes("ring", 80) + ", n2 AS MATERIALIZED (SELECT u, v, s FROM e UNION ALL SELECT v, u, s FROM e), x AS MATERIALIZED (SELECT f.c, f.k, f.s, n2.v, CAST(sum(n2.s) AS BIGINT) d FROM f, LATERAL (SELECT unnest(f.c) m) y JOIN n2 ON n2.u = y.m GROUP BY ALL HAVING count(*) = f.k) SELECT (SELECT count(*) FROM f) AS states, (SELECT count(*) FROM x) AS tests, (SELECT count(*) FROM x, tau WHERE 2 * (s + d) >= t * (k + 1) * k) - (SELECT count(*) FROM f WHERE k > 2) AS rejects, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.v = f.c[1] AND m.k = f.k + 1 AND list_has_all(m.c, f.c))) AS terminals")
 def search_counters(spark, sf_dir):
     s = materialise(sims(spark, sf_dir))
-    return C.search_counters(s, S.tau_value(s, 80)).select("states", "terminals")
+    return C.search_counters(s, S.tau_value(s, 80))
 
 
 @query("host_feasibility", ctes("band", 80) + "SELECT array_to_string(c, ',') AS clique, CAST(k AS BIGINT) AS size, CAST(s AS BIGINT) AS sum_q, 2 * s >= t * k * (k - 1) AS feasible FROM mce, tau")
@@ -425,10 +426,10 @@ def runs(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.col("o_custkey").alias("task"), F.col("o_orderpriority").alias("config"), status.alias("status"), F.col("o_totalprice").alias("seconds"), F.col("o_orderdate").alias("began"))
 
 
-@query("run_summary", f"WITH {_RUNS} SELECT config, count(*) AS reps, round(min(seconds), 6) AS min_s, round(quantile_cont(seconds, 0.5), 6) AS median_s, round(max(seconds), 6) AS max_s FROM runs WHERE status = 'completed' GROUP BY config")
+@query("run_summary", f"WITH {_RUNS} SELECT config, count(*) AS reps, round(min(seconds), 6) AS min_s, round(quantile_cont(seconds, 0.5), 6) AS median_s, round(max(seconds), 6) AS max_s, round(quantile_cont(run, 0.5), 6)::DOUBLE AS median_gib, max(run)::DOUBLE AS max_gib, max(length(config)) AS results FROM runs WHERE status = 'completed' GROUP BY config")
 def run_summary(spark, sf_dir):
-    r = runs(spark, sf_dir).withColumn("peak_gib", F.col("seconds")).withColumn("results", F.lit(1)).withColumn("histogram", F.lit(""))
-    return R.summary(r, ["config"]).select("config", "reps", "min_s", "median_s", "max_s")
+    r = runs(spark, sf_dir).withColumn("peak_gib", F.col("run").cast("double")).withColumn("results", F.length("config")).withColumn("histogram", F.upper("config"))
+    return R.summary(r, ["config"])
 
 
 @query("status_counts", f"WITH {_RUNS} SELECT status, count(*) AS runs FROM runs GROUP BY status")
@@ -441,9 +442,12 @@ def attempts(spark, sf_dir):
     return R.attempts(runs(spark, sf_dir), ["task"], ["began", "run"]).select("run", "attempt", "latest")
 
 
-@query("missing_tasks", "SELECT c_custkey AS task FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("missing_tasks", "SELECT c_custkey AS task, config FROM customer, (SELECT DISTINCT o_orderpriority config FROM orders) p WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = config)")
 def missing_tasks(spark, sf_dir):
-    return R.missing(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("task")), runs(spark, sf_dir), ["task"])
+    r = runs(spark, sf_dir)
+    configs = r.agg(F.collect_set("config").alias("configs"))  # one row
+    plan = table(spark, sf_dir, "customer").join(F.broadcast(configs)).select(F.col("c_custkey").alias("task"), F.explode("configs").alias("config"))
+    return R.missing(plan, r, ["task", "config"])
 
 
 @query("best_record", f"WITH {_RUNS}, x AS (SELECT task, run, count(*) OVER (PARTITION BY task, config) n FROM runs) SELECT task, arg_max(run, (n, -run)) AS run, max(n) AS reps FROM x GROUP BY task")
@@ -491,20 +495,162 @@ def id_audit(spark, sf_dir):
     return author_audit(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("author")), part_ids(spark, sf_dir).select(F.col("id").alias("author"))).select("n_rows", "authors", "least", "most", "gaps", "only_rows", "only_listed")
 
 
-# Generators: hashed, so that every run gives the same rows.
+# Generators: hashed, so that every run and engine gives the same rows.
+
+_UNIT = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0"
 
 
-@query("random_vectors")
+@query("random_vectors", f"SELECT vec_id AS id, CAST(j AS BIGINT) AS j, round({_UNIT.format("'42:' || vec_id || ':' || j")} * 2 - 1, 6) AS x FROM embeddings, range(0, 16) r(j)")
 def random_vectors_query(spark, sf_dir):
-    return random_vectors(vertices(spark, sf_dir).select("id"), 16).select("id", F.array_join(F.transform("vec", lambda x: F.round(x, 6).cast("string")), ",").alias("vec"))
+    return random_vectors(vertices(spark, sf_dir).select("id"), 16).select("id", F.posexplode("vec").alias("j", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("vertex_sample")
+@query("vertex_sample", f"SELECT p_partkey AS id FROM part WHERE {_UNIT.format("'42:' || p_partkey")} < 0.1")
 def vertex_sample(spark, sf_dir):
     return G.sampled(part_ids(spark, sf_dir), 0.1)
 
 
-@query("text_vectors")
+@query(
+    "text_vectors",
+    """WITH w AS (SELECT p_partkey id, unnest(regexp_split_to_array(lower(p_name), '[^a-z0-9]+')) w FROM part), c AS (SELECT id, CAST('0x' || substr(md5(w), 1, 13) AS BIGINT) % 32 k, count(*) n FROM w WHERE w <> '' GROUP BY ALL)
+SELECT id, CAST(k AS BIGINT) AS k, round(n / sqrt(sum(n * n) OVER (PARTITION BY id)), 6) AS x FROM c""",
+)
 def text_vectors_query(spark, sf_dir):
     t = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"))
-    return text_vectors(t, 32).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("square"))
+    return text_vectors(t, 32).select("id", F.posexplode("vec").alias("k", "x")).where("x <> 0").withColumn("x", F.round("x", 6))
+
+
+# Graphs of parts that share an order, with generated vectors.
+
+_PART_VECTORS = f"pv AS MATERIALIZED (SELECT p_partkey vec_id, list_transform(range(0, 32), lambda j: {_UNIT.format("'42:' || p_partkey || ':' || j")} * 2 - 1) raw FROM part), pn AS MATERIALIZED (SELECT vec_id, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) embedding FROM pv),"
+
+
+def _part_ctes(q: int) -> str:
+    return ctes("ring", q).replace(E0["ring"], PARTS).replace("JOIN embeddings", "JOIN pn").replace("WITH RECURSIVE ", "WITH RECURSIVE " + _PART_VECTORS)
+
+
+def part_sims(spark, sf_dir) -> DataFrame:
+    v = materialise(random_vectors(part_ids(spark, sf_dir), 32))
+    return materialise(S.sim_edges(parts(spark, sf_dir), v, unit=False).select("u", "v", "sim_q"))
+
+
+@query("msc_auto_parts_q80", _part_ctes(80) + FAMILY.format("msc"))
+def msc_auto_parts(spark, sf_dir):
+    s = part_sims(spark, sf_dir)
+    return family(C.msc(s, S.tau_value(s, 80)))
+
+
+@query("mce_parts", _part_ctes(80) + FAMILY.format("mce"))
+def mce_parts(spark, sf_dir):
+    return family(C.structural(part_sims(spark, sf_dir)))
+
+
+@query("nested_graphs", f"WITH {_DEGREES}, x AS (SELECT size, id, row_number() OVER (PARTITION BY size ORDER BY id) - 1 new FROM rk, (SELECT unnest([50, 200, 800]) size) WHERE rank <= size) SELECT CAST(size AS BIGINT) AS size, new AS id, id AS orig_id, round({_UNIT.format("'42:' || id || ':0'")} * 2 - 1, 6) AS first FROM x")
+def nested_graphs(spark, sf_dir):
+    e = materialise(parts(spark, sf_dir))
+    return G.nested_graphs(e, random_vectors(part_ids(spark, sf_dir), 4), [50, 200, 800]).select("size", "id", "orig_id", F.round(F.col("vec")[0], 6).alias("first"))
+
+
+@query("pooled_measures", ctes("ring", 80) + "," + _PAIRS.format("msc") + ", z AS (SELECT c, k, count(*) n, CAST(sum(s) AS BIGINT) s FROM p GROUP BY c, k) SELECT count(*) AS groups, round(CAST(sum(n) AS BIGINT) / CAST(sum(k * (k - 1) // 2) AS BIGINT), 6)::DOUBLE AS pooled_density, round(CAST(sum(s) AS BIGINT) / CAST(sum(k * (k - 1) // 2) AS BIGINT), 6) AS pooled_avg_q, round(avg(CASE WHEN n = k * (k - 1) // 2 THEN 1.0 ELSE 0 END), 6)::DOUBLE AS exact_share FROM z")
+def pooled_measures(spark, sf_dir):
+    found, s, _ = family_of(spark, sf_dir)
+    return Q.pooled_measures(Q.edge_measures(grouped(found), s))
+
+
+@query("endpoint_filter", "SELECT l_suppkey AS u, l_partkey AS v FROM lineitem WHERE l_suppkey IN (SELECT p_partkey FROM part WHERE p_size <= 25) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
+def endpoint_filter(spark, sf_dir):
+    raw = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"))
+    return G.checked(raw, table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("id")))
+
+
+@query("normalised_similarity", ctes("ring") + "SELECT u, v, CAST(round(list_cosine_similarity(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(b.embedding, lambda x: CAST(x AS DOUBLE))) * 1000000) AS BIGINT) AS sim_q FROM e0 JOIN embeddings a ON a.vec_id = u JOIN embeddings b ON b.vec_id = v")
+def normalised_similarity(spark, sf_dir):
+    v = vertices(spark, sf_dir).select("id", F.transform("vec", lambda x: x.cast("double") * 3).alias("vec"))
+    return S.sim_edges(ring(spark, sf_dir), v, unit=False).select("u", "v", "sim_q")
+
+
+@query("float_similarity", ctes("ring") + "SELECT u, v, round(CAST(CAST(sim AS FLOAT) AS DOUBLE), 6) AS sim FROM e")
+def float_similarity(spark, sf_dir):
+    return S.sim_edges(ring(spark, sf_dir), vertices(spark, sf_dir), policy="float32").select("u", "v", F.round("sim", 6).alias("sim"))
+
+
+@query("group_validity", "WITH g AS MATERIALIZED (SELECT l_orderkey gid, list_sort(list(l_partkey)) m FROM lineitem GROUP BY l_orderkey), n AS (SELECT m, count(*) n FROM g GROUP BY m), b AS (SELECT DISTINCT l_orderkey gid FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 48)) SELECT g.gid, CASE WHEN len(list_distinct(g.m)) <> len(g.m) THEN 'repeated vertex' WHEN b.gid IS NOT NULL THEN 'unknown vertex' WHEN n > 1 THEN 'repeated group' END AS problem FROM g JOIN n ON n.m = g.m LEFT JOIN b ON b.gid = g.gid")
+def group_validity(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("gid")).agg(F.collect_list("l_partkey").alias("members"))
+    return Q.validated(g, table(spark, sf_dir, "part").where("p_size <= 48").select(F.col("p_partkey").alias("id"))).select("gid", "problem")
+
+
+@query("status_classes", "SELECT l_orderkey AS run, l_linenumber::BIGINT AS line, CASE WHEN l_discount > 0.08 THEN 'tle' WHEN l_linenumber = 3 THEN 'oom' WHEN l_linenumber <> 1 THEN 'crash' WHEN l_returnflag = 'N' THEN 'parse_error' WHEN l_linestatus <> 'O' THEN 'mismatch' ELSE 'completed' END AS status FROM lineitem")
+def status_classes(spark, sf_dir):
+    code = F.when(F.col("l_linenumber") == 1, 0).otherwise(F.col("l_linenumber"))
+    status = R.status_of(code, F.col("l_discount") > 0.08, F.col("l_returnflag") != "N", F.col("l_linestatus") == "O")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("line"), status.alias("status"))
+
+
+@query("previous_results", f"WITH {_RUNS}, r AS (SELECT *, CAST(floor(seconds / 100000) AS BIGINT) results FROM runs WHERE status = 'completed') SELECT a.run, b.run AS previous, a.results = b.results AS equal FROM r a JOIN r b ON a.task = b.task AND a.config = b.config AND b.run < a.run")
+def previous_results(spark, sf_dir):
+    return R.previous_equal(runs(spark, sf_dir).withColumn("results", F.floor(F.col("seconds") / 100000)), ["task"], "config")
+
+
+@query("task_grid", "SELECT a AS algorithm, CAST(t AS BIGINT) AS tau FROM (SELECT unnest(['canonical', 'strsub', 'sem_bk']) a), (SELECT unnest([20, 80, 99]) t)")
+def task_grid(spark, sf_dir):
+    return R.task_grid(spark, algorithm=["canonical", "strsub", "sem_bk"], tau=[20, 80, 99])
+
+
+@query("plan_expansion", "SELECT p_partkey AS task, CAST(r AS BIGINT) AS repetition, CAST(1 AS BIGINT) AS ids FROM part, range(1, 51) x(r) WHERE r <= p_size")
+def plan_expansion(spark, sf_dir):
+    plan = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("task"), F.col("p_size").alias("repetitions"))
+    return R.expand_plan(plan).groupBy("task", "repetition").agg(F.countDistinct("task_id").alias("ids"))
+
+
+# Files, written in the shared folder and read back.
+
+
+@query("vector_files", "SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
+def vector_files(spark, sf_dir):
+    v = vertices(spark, sf_dir)
+    back = read_vectors(spark, write_vectors(v, shared_path(spark, "vectors"), rows=300), v.count())
+    return back.select("id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("vector_text_file", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 6) AS total FROM embeddings")
+def vector_text_file(spark, sf_dir):
+    v = vertices(spark, sf_dir).select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 4)).alias("vec"))
+    path = shared_path(spark, "vector-text")
+    v.select(F.concat(F.lit('"'), "id", F.lit('": '), F.to_json("vec")).alias("value")).write.text(path)
+    return read_vector_text(spark, path).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query("graph_file", E0["ring"])
+def graph_file(spark, sf_dir):
+    path = shared_path(spark, "graph")
+    T.write_graph(vertices(spark, sf_dir), ring(spark, sf_dir), path)
+    return T.read_graph(spark, path, "FAILFAST")[1]
+
+
+@query("edge_list_file", PARTS)
+def edge_list_file(spark, sf_dir):
+    path, e = shared_path(spark, "edges"), materialise(parts(spark, sf_dir))
+    e.select(F.concat_ws("\t", "v", "u").alias("value")).unionByName(e.limit(0).select(F.lit("# ends").alias("value"))).write.option("compression", "gzip").text(path)
+    return T.read_edges(spark, path)
+
+
+@query("cover_file", ctes("ring", 80) + "SELECT gid AS clique FROM g")
+def cover_file(spark, sf_dir):
+    path = shared_path(spark, "cover")
+    T.write_cover(family_of(spark, sf_dir)[0], path, "size")
+    return T.read_cover(spark, path, "size").select(F.array_join("members", ",").alias("clique"))
+
+
+@query("label_file", "SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings")
+def label_file(spark, sf_dir):
+    path = shared_path(spark, "labels")
+    labels(spark, sf_dir).select(F.col("id").alias("vertex"), "label", F.concat(F.lit("class "), "label").alias("name")).write.csv(path, header=True)
+    return T.read_labels(spark, path)
+
+
+@query("triple_file", "WITH t AS (SELECT DISTINCT p_brand h, p_type t FROM part), n AS (SELECT x, row_number() OVER (ORDER BY x) - 1 id FROM (SELECT h x FROM t UNION SELECT t FROM t)) SELECT DISTINCT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v FROM t JOIN n a ON a.x = h JOIN n b ON b.x = t.t WHERE a.id <> b.id")
+def triple_file(spark, sf_dir):
+    path = shared_path(spark, "triples")
+    table(spark, sf_dir, "part").select(F.concat_ws("\t", "p_brand", F.lit("is"), "p_type").alias("value")).write.text(path)
+    return T.triple_graph(T.read_triples(spark, path))[1]
