@@ -321,7 +321,7 @@ def test_personal_data(spark, docs):
     assert pii.find(docs).count() == docs.count() and pii.find(docs.limit(0)).count() == 0
 
 
-def plain_disclosing(rows, disclosure=pii.DISCLOSURE, chance=pii.CHANCE):
+def plain_disclosing(rows, disclosure=pii.DISCLOSURE, residual=pii.RESIDUAL, chance=pii.CHANCE):
     """Terms that disclose an entity, counted document by document."""
     from collections import Counter
     from math import log, log2
@@ -345,7 +345,7 @@ def plain_disclosing(rows, disclosure=pii.DISCLOSURE, chance=pii.CHANCE):
     told = set()
     for (e, w), k in n_et.items():
         m, ic = n_e[e] * n_t[w] / n, log2(n / n_e[e])
-        if n_e[e] < n and log2(k / m) >= disclosure * ic and k > m and k * log(k / m) - k + m >= log(len(n_et) / chance):
+        if n_e[e] < n and log2(k / m) >= disclosure * ic and log2(n_t[w] / k) <= residual and k > m and k * log(k / m) - k + m >= log(len(n_et) / chance):
             told.add(w)
     return told
 

@@ -74,7 +74,7 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     want = [r for r in given if not contaminated(r[1], [t for _, t in items])]
     assert clean.schema == docs.schema and sorted(map(tuple, clean.collect()), key=repr) == sorted(want, key=repr) and len(want) < len(given)
     # Toxicity: rows follow their own text, other columns keep their values.
-    labels = [(k, int(k % 4 == 0)) for k in range(500, 900)]
+    labels = [(k, int(k // 8 % 4 == 0)) for k in range(500, 900)]
     rude = [(k, f"{given[k % 8][1][:80]} {'grobix snarvel grobix' if y else 'kind words here'} {k}", "a", k, "m", "k", k) for k, y in labels]
     bad = [(2, f"{given[6][1][:80]} grobix snarvel grobix 2", "a", 1, "m", "k", 1), (None, f"{given[7][1][:80]} grobix snarvel grobix 7", None, 2, "m", "k", 2)]
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))

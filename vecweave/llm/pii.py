@@ -5,10 +5,12 @@ several levels: the value itself, the part of it that names a group (a domain or
 area), and its kind. A term is a whole word of letters outside of addresses. Over all documents, the pointwise mutual
 information PMI(entity; term) = log2(n_et N / (n_e n_t)) measures how much of the entity's information content
 IC(entity) = log2(N / n_e) the term discloses; n counts documents. A term is generalised, wherever it stands, if for some
-entity PMI reaches DISCLOSURE of IC and the two meet more often than chance explains: met at random, n_et would exceed
-its mean m = n_e n_t / N so far with probability below exp(-(n_et ln(n_et / m) - n_et + m)), Chernoff's bound for a
-Poisson count, and that must be below CHANCE shared among all pairs counted. So the support that is needed follows from the
-corpus, and no number of documents is fixed.
+entity PMI reaches DISCLOSURE of IC, what it leaves open, IC - PMI = log2(n_t / n_et), is at most RESIDUAL bits, and the
+two meet more often than chance explains: met at random, n_et would exceed its mean m = n_e n_t / N so far with
+probability below exp(-(n_et ln(n_et / m) - n_et + m)), Chernoff's bound for a Poisson count, and that must be below CHANCE
+shared among all pairs counted. So the support that is needed follows from the corpus, and no number of documents is
+fixed; and as an entity is in a fixed share at least of the documents that hold a term it gives away, what is generalised
+grows with what is protected.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_side, table, text_key
 
-#: A term may tell at most half of what there is to know of an entity; chance that any pair passes by accident.
-DISCLOSURE, CHANCE = 0.5, 0.01
+#: A term discloses an entity if it tells half of what there is to know of it and leaves a guess of one in four (2 bits);
+#: chance that any pair passes by accident.
+DISCLOSURE, RESIDUAL, CHANCE = 0.5, 2.0, 0.01
 
 #: Patterns whose attempts can't start inside a run that has already failed, and which never give back what they took,
 #: so that long runs of letters or digits take linear time; they find what the plain patterns find.
@@ -110,16 +113,16 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(without_addresses(text), F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosing(pairs: DataFrame, n: int, tests: int, disclosure: float, chance: float) -> DataFrame:
+def disclosing(pairs: DataFrame, n: int, tests: int, disclosure: float, residual: float, chance: float) -> DataFrame:
     """The rows of ``pairs(entity, term, n_et, n_e, n_t)`` whose term discloses the entity, with pmi and ic."""
     mean = F.col("n_e") * F.col("n_t") / F.lit(float(max(1, n)))
     told = pairs.withColumn("ic", F.log2(F.lit(float(max(1, n))) / F.col("n_e"))).withColumn("pmi", F.log2(F.col("n_et") / mean))
     told = told.withColumn("evidence", F.when(F.col("n_et") > mean, F.col("n_et") * F.log(F.col("n_et") / mean) - F.col("n_et") + mean).otherwise(0.0))
     enough = F.col("evidence") >= F.log(F.lit(max(1, tests) / chance))
-    return told.where((F.col("n_e") < n) & (F.col("pmi") >= disclosure * F.col("ic")) & enough)
+    return told.where((F.col("n_e") < n) & (F.col("pmi") >= disclosure * F.col("ic")) & (F.log2(F.col("n_t") / F.col("n_et")) <= residual) & enough)
 
 
-def find(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, residual: float = RESIDUAL, chance: float = CHANCE) -> DataFrame:
     """(doc_id, h, base, spans) for each row of ``docs``; h is the text's hash, spans hold kind, s, e in code points.
 
     ``base`` has the pattern matches by kind, then start; ``spans`` has these and, as kind term, the disclosing terms,
@@ -147,7 +150,7 @@ def find(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE
     each = each.select("doc_id", "h", F.explode(_words(F.col("text"))).alias("term"))
     # Every word is counted where it stands before counts meet the pairs, so the join has one row for each pair at most.
     n_t = each.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = disclosing(pairs.join(n_t, "term").join(small_side(able), "entity"), n, tests, disclosure, chance)
+    told = disclosing(pairs.join(n_t, "term").join(small_side(able), "entity"), n, tests, disclosure, residual, chance)
     told = small_side(materialise(told.select("term").distinct()))
     hits = each.join(told, "term", "left_semi").groupBy(F.col("doc_id").alias("d"), F.col("h").alias("k")).agg(F.collect_set("term").alias("told"))
     marked = own.join(small_side(materialise(hits)), same).dropDuplicates(["doc_id", "h"]).withColumn("text", without_addresses(F.col("text")))
