@@ -31,9 +31,9 @@ from .common import materialise, shared_path, table, tune
 
 END_ID = 2
 LEVEL = 1
-#: Pieces whose ids a Python worker remembers in each of two generations; when the younger is full it becomes the older
+#: Pieces whose ids a Python worker remembers, for one task or from task to task, in each of two generations; when the younger is full it becomes the older
 #: one, and pieces met again move back to the younger, so frequent ones are never forgotten.
-PIECES = 200_000
+PIECES, KEPT_PIECES = 200_000, 600_000
 #: Fixed values of zstandard's seekable format.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC, WITH_CHECKSUM = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 
@@ -64,7 +64,7 @@ class Encoder:
     latin_cuts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
     numbers = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0100-\U0010ffff]")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -75,7 +75,7 @@ class Encoder:
         self.direct = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not about.get("normalizer")
         self.added = [t["content"] for t in about.get("added_tokens") or []]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.letters, self.pieces, self.older = byte_letters(), {}, {}
+        self.letters, self.pieces, self.older, self.remembered = byte_letters(), {}, {}, remembered
 
     def learn(self, piece: str) -> bytes:
         got = self.pieces.get(piece) or self.older.get(piece)
@@ -83,7 +83,7 @@ class Encoder:
             ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
             got = np.array(ids, self.dtype).tobytes()
         if len(piece) <= 64:
-            if len(self.pieces) >= PIECES:
+            if len(self.pieces) >= self.remembered:
                 self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = got
         return got
@@ -109,7 +109,7 @@ def encoder(path: str, keep: bool) -> Encoder:
         return Encoder(path)
     if path not in _kept:
         _kept.clear()
-        _kept[path] = Encoder(path)
+        _kept[path] = Encoder(path, KEPT_PIECES)
     return _kept[path]
 
 
@@ -203,7 +203,7 @@ def write_tokens(docs: DataFrame, out_dir: str | None = None, tokenizer: str | N
     sorted and goes to one file. A file's name holds the task's attempt, and only files of successful attempts get into
     the manifest, so lost or repeated tasks leave no wrong data. Null text counts as empty: only the end id is written.
     Rows with equal doc_id stand next to each other. Further columns of ``docs`` aren't read, so their names don't matter.
-    An empty table gives an empty manifest. With ``keep`` workers keep the tokenizer and about 100 MB of pieces between
+    An empty table gives an empty manifest. With ``keep`` workers keep the tokenizer and up to about 250 MB of pieces between
     tasks, which saves a third of the time; without, they are free for what comes next.
     """
     spark = tune(docs.sparkSession)
