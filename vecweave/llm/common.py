@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Give freed memory back to the system: Arrow's pool and, with the GNU C library, the heap's free pages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow, after which the worker, which waits for other tasks, keeps no more than it needs."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names. Only a local master may leave it unset, as tests do: elsewhere
     a folder of the driver's machine would be lost to the executors, so this raises."""

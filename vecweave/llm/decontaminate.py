@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, mix64, slice_hashes, small_side, table, text_bytes, text_key, tune, without_rows
+from .common import LOWER, lean, materialise, mix64, slice_hashes, small_side, table, text_bytes, text_key, tune, without_rows
 
 WINDOW, GRAM = 10, 5
 #: Bits of the filter for each fingerprint of the benchmark, and the least and the most of all (as powers of two). Where
@@ -125,7 +125,7 @@ def fingerprint_rows(items: DataFrame, id_column: str, filter_: np.ndarray | Non
             seen += n_docs
             yield pa.RecordBatch.from_arrays([rid, b.column(0), b.column(1), pa.array(counts.astype(np.int64)), fps], ["rid", "id", "key", "n_words", "fps"])
 
-    return items.select(F.col(id_column).cast("long").alias("id"), text_key().alias("key"), "text").mapInArrow(run, _FP)
+    return items.select(F.col(id_column).cast("long").alias("id"), text_key().alias("key"), "text").mapInArrow(lean(run), _FP)
 
 
 def benchmark_filter(grams: DataFrame) -> np.ndarray:

@@ -21,13 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_first, materialise, mix64, small_side, text_bytes, text_key, tune
+from .common import keep_first, lean, materialise, mix64, release, small_side, text_bytes, text_key, tune
 from .components import components
 from .neardup import RADIUS, fingerprint_of, near_groups
 
 WORDS, SIMILAR, BANDS, ROWS, SEED = 5, 0.8, 42, 6, 42
 #: Texts and characters of a block of candidates; a task holds two blocks.
 BLOCK_ROWS, BLOCK_CHARS = 1_000, 8 << 20
+#: Bytes of a group of blocks beyond which a worker gives memory back after it.
+RELEASED = 4 << 20
 #: Leaders whose shingles a worker remembers.
 LEADERS = 16
 
@@ -107,7 +109,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             each = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * BANDS), pa.array(got.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), each], ["key", "fp", "bands"])
 
-    return docs.select("key", "text").mapInArrow(sign, "key long, fp long, bands array<long>")
+    return docs.select("key", "text").mapInArrow(lean(sign), "key long, fp long, bands array<long>")
 
 
 def buckets(signed: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -144,7 +146,7 @@ def with_leaders(members: DataFrame, texts: DataFrame, words: int, similar: floa
                     c.append(lead)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
 
-    return led.select("key", "lead", "text", "first").mapInArrow(check, "a long, b long")
+    return led.select("key", "lead", "text", "first").mapInArrow(lean(check), "a long, b long")
 
 
 def standing_apart(members: DataFrame, found: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
@@ -180,6 +182,8 @@ def standing_apart(members: DataFrame, found: DataFrame, texts: DataFrame, words
             for x, y in exact_links(sets, similar) if sets else ():
                 a.append(int(key[rows[x]]))
                 b.append(int(key[rows[y]]))
+        if t.nbytes > RELEASED:
+            release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("pack", "large", "i", "j").applyInArrow(search, "a long, b long")

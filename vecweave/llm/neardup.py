@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_first, materialise, table, text_bytes, text_key, tune
+from .common import keep_first, lean, materialise, table, text_bytes, text_key, tune
 from .components import components
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp = simhash_texts([raw[s:e] for s, e in zip(at, at[1:], strict=False)], words)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(lean(run), "doc_id long, key long, fp long")
 
 
 class Tree:
@@ -216,7 +216,7 @@ def near_groups(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = links(x[own], x[~own], radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    edges = distinct.mapInArrow(route, "leaf int, fp long, own boolean").groupBy("leaf").applyInArrow(search, "a long, b long")
+    edges = distinct.mapInArrow(lean(route), "leaf int, fp long, own boolean").groupBy("leaf").applyInArrow(search, "a long, b long")
     return components(edges).select(F.col("node").alias("fp"), "root")
 
 

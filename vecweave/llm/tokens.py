@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_path, table, tune
+from .common import lean, materialise, shared_path, table, tune
 
 END_ID = 2
 LEVEL = 1
@@ -229,7 +229,7 @@ def write_tokens(docs: DataFrame, out_dir: str | None = None, tokenizer: str | N
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [f"{out_dir}/{name}"], "n_docs": [len(sink.ids)], "n_ids": [sink.n_ids]})
 
     dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = materialise(dealt.mapInArrow(write, "part int, path string, n_docs long, n_ids long"))
+    files = materialise(dealt.mapInArrow(lean(write), "part int, path string, n_docs long, n_ids long"))
     # One row for each file, so a running sum over the manifest is small.
     start = F.expr("coalesce(sum(n_ids) over (order by part rows between unbounded preceding and 1 preceding), 0L)")
     return materialise(files.withColumn("start", start))
@@ -258,7 +258,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(x, pa.binary())], ["doc_id", "start", "ids"])
 
     files = manifest.select("path", "start")
-    return spread(files).mapInArrow(read, "doc_id long, start long, ids binary")
+    return spread(files).mapInArrow(lean(read), "doc_id long, start long, ids binary")
 
 
 def spread(files: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def digest_tokens(manifest: DataFrame) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return spread(manifest.select("path", "start")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread(manifest.select("path", "start")).mapInArrow(lean(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_key, tune, without_rows
+from .common import lean, materialise, table, text_key, tune, without_rows
 
 #: Bound of the labelled rows that are fitted on (those with the smallest hash of doc_id), and of a lexicon.
 TRAIN_ROWS, LEXICON = 20_000, 4_000
@@ -204,14 +204,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
         for b in batches:
             for t, text, h in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 both[h, t].update({s for w in set(_WORD.findall(text.lower())) for s in stems(w)})
-            yield from told(COUNTED)  # counts of a word are added up later, so a worker holds a bounded number
+                yield from told(COUNTED)  # counts of a word are added up later, so a worker holds a bounded number
         yield from told(1)
 
     sizes = {(r.half, r.toxic): r["count"] for r in held.groupBy("half", "toxic").count().collect()}
     if not any(n for (_, t), n in sizes.items() if t == 1) or not any(n for (_, t), n in sizes.items() if t == 0):
         return None
     cell = lambda h, t: F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), F.col("n")).otherwise(0))
-    counts = held.select("toxic", "text", "half").mapInArrow(count, "word string, half int, toxic int, n long").groupBy("word").agg(*(cell(h, t).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)))
+    counts = held.select("toxic", "text", "half").mapInArrow(lean(count), "word string, half int, toxic int, n long").groupBy("word").agg(*(cell(h, t).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)))
     # Words of too few toxic documents can't enter a lexicon, so at most (words of the toxic rows) / LEAST words are left.
     counts = counts.where(F.greatest(F.col("n01"), F.col("n11"), F.col("n01") + F.col("n11")) >= LEAST)
     total = lambda t, *hs: sum(sizes.get((h, t), 0) for h in hs)
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | N
                 x[at] = rates(b.column(1).take(pa.array(at)), other[h], words[h])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "half", "x"])
 
-    got = held.select("toxic", "text", "half").mapInArrow(measure, "toxic int, half int, x array<double>").orderBy("half", "toxic", "x").collect()
+    got = held.select("toxic", "text", "half").mapInArrow(lean(measure), "toxic int, half int, x array<double>").orderBy("half", "toxic", "x").collect()
     x, y, half = np.array([r.x for r in got]), np.array([r.toxic for r in got], float), np.array([r.half for r in got])
     raw = np.zeros(len(y))
     for h in (0, 1):
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             s = model.score(rates(b.column(2), model.lexicon, words)) if model else np.zeros(len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64())], ["doc_id", "key", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(run, "doc_id long, key long, score double")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("key"), "text").mapInArrow(lean(run), "doc_id long, key long, score double")
 
 
 def held_out(doc_id: Column) -> Column:
