@@ -124,3 +124,14 @@ def test_budget_raises():
     adj = [(1 << 20) - 1 & ~(1 << i) for i in range(20)]
     with pytest.raises(K.TooMany):
         list(K.all_cliques(adj, [{j: 1 for j in range(20)}] * 20, (1 << 20) - 1, steps=K.Steps(1000)))
+
+
+def test_shares_of_a_host_are_the_whole():
+    rng = random.Random(11)
+    for m in (8, 12):
+        w = [[0] * m for _ in range(m)]
+        for i, j in combinations(range(m), 2):
+            w[i][j] = w[j][i] = rng.randint(-5, 10)
+        whole = sorted(K.solve_host(list(range(m)), w, 6, "canonical"))
+        shares = [x for k in range(5) for x in K.solve_host(list(range(m)), w, 6, "canonical", part=(k, 5))]
+        assert whole and sorted(shares) == whole

@@ -87,3 +87,12 @@ def test_pooled_measures(spark):
     s = spark.createDataFrame([(1, 2, 600_000), (2, 3, 900_000)], "u long, v long, sim_q long")
     got = Q.pooled_measures(Q.edge_measures(g, s)).first()
     assert tuple(got) == (2, 0.75, 600_000.0, 0.5)
+
+
+def test_split_hosts_give_the_same_sets(spark):
+    rng = random.Random(3)
+    rows = [(u, v, rng.randint(-200_000, 900_000)) for base, m in ((0, 11), (7, 9)) for u in range(base, base + m) for v in range(u + 1, base + m)]
+    sims = spark.createDataFrame(sorted({(u, v): (u, v, s) for u, v, s in rows}.values()), "u long, v long, sim_q long")
+    hosts = C.structural(sims)
+    family = lambda split: sorted(map(tuple, C.maximal_only(C.from_hosts(hosts, sims, 600_000, "canonical", split=split)).collect()))
+    assert family(8) == family(1000) == sorted(map(tuple, C.msc(sims, 600_000, "canonical").collect())) != []

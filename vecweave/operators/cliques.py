@@ -21,6 +21,8 @@ from .graph import both_ways, degrees, oriented
 CLIQUE = "clique array<long>, sum_q long"
 #: Neighbours of a vertex up to which its neighbourhood may be one row of a task.
 HUB = 20_000
+#: Members of a host from which its canonical search is split, and into how many tasks.
+SPLIT, SHARES = 40, 16
 ALGORITHMS = ("layered", "layered_canonical", "canonical", "visited", "strsub", "sem_bk", "host_canonical")
 
 
@@ -188,8 +190,17 @@ def hosts_with_pairs(hosts: DataFrame, sims: DataFrame) -> DataFrame:
     return pairs.groupBy("clique").agg(F.collect_list(F.struct("i", "j", F.col("sim_q").alias("s"))).alias("pairs"))
 
 
-def from_hosts(hosts: DataFrame, sims: DataFrame, tau_q: int, method: str, budget: int = K.BUDGET) -> DataFrame:
-    """Candidates of each host. Hosts that are feasible, or have no pair that reaches the threshold, need no search."""
+def hosts_of_pairs(hosts: DataFrame, sims: DataFrame, tau_q: int) -> DataFrame:
+    """(u, v, hosts): for each pair that reaches the threshold how many hosts hold both its ends, which a search from it
+    may stay inside; pairs within no host are left out."""
+    near = hosts_with_pairs(hosts, sims.where(F.col("sim_q") >= tau_q)).select("clique", F.explode("pairs").alias("p"))
+    ends = near.select(F.expr("clique[p.i]").alias("u"), F.expr("clique[p.j]").alias("v"))
+    return ends.groupBy("u", "v").agg(F.count("*").alias("hosts"))
+
+
+def from_hosts(hosts: DataFrame, sims: DataFrame, tau_q: int, method: str, budget: int = K.BUDGET, split: int = SPLIT) -> DataFrame:
+    """Candidates of each host. Hosts that are feasible, or have no pair that reaches the threshold, need no search; those
+    of ``split`` members or more are searched in SHARES tasks by the canonical method, each with a budget of its own."""
     paired = hosts_with_pairs(hosts, sims).withColumn("best", F.array_max("pairs.s")).where(F.col("best") >= tau_q)
     paired = paired.withColumn("sum_q", F.aggregate("pairs", F.lit(0).cast("long"), lambda a, p: a + p["s"])).withColumn("size", F.size("clique"))
     paired = materialise(paired)
@@ -198,17 +209,19 @@ def from_hosts(hosts: DataFrame, sims: DataFrame, tau_q: int, method: str, budge
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple[list[int], int]]:
             for b in batches:
-                for members, pairs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for members, pairs, k, n in zip(*(b.column(x).to_pylist() for x in range(4)), strict=True):
                     w = [[0] * len(members) for _ in members]
                     for p in pairs:
                         w[p["i"]][p["j"]] = w[p["j"]][p["i"]] = p["s"]
-                    for c, s in K.solve_host(members, w, tau_q, method, budget=budget):
+                    for c, s in K.solve_host(members, w, tau_q, method, budget=budget, part=(k, n)):
                         yield [members[v] for v in c], s
 
         yield from _in_batches(each())
 
     n = 4 * sims.sparkSession.sparkContext.defaultParallelism
-    searched = paired.where(~good).select("clique", "pairs").repartition(n, "clique").mapInArrow(run, CLIQUE)
+    shares = F.when(F.lit(method == "canonical") & (F.col("size") >= split), SHARES).otherwise(1)
+    dealt = paired.where(~good).select("clique", "pairs", shares.alias("shares")).withColumn("share", F.explode(F.expr("sequence(0, shares - 1)")))
+    searched = dealt.select("clique", "pairs", "share", "shares").repartition(n, "clique", "share").mapInArrow(run, CLIQUE)
     return sized(paired.where(good).select("clique", "sum_q").unionByName(searched))
 
 

@@ -238,8 +238,12 @@ def host_subsets(w: list[list[int]], tau: int, steps: Steps | None = None, use:
     yield from ((tuple(bits(mask)), s) for mask, s in found)
 
 
-def solve_host(members: list[int], w: list[list[int]], tau: int, method: str = "subsets", direct: int = 7, budget: int = BUDGET) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Candidate sets of one host by position: the host itself if it is feasible, none without a pair that reaches tau."""
+def solve_host(members: list[int], w: list[list[int]], tau: int, method: str = "subsets", direct: int = 7, budget: int = BUDGET, part: tuple[int, int] = (0, 1)) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Candidate sets of one host by position: the host itself if it is feasible, none without a pair that reaches tau.
+
+    ``part`` (k, n) is the k-th of n shares of a canonical search: the pairs whose first position leaves k. A set is
+    reached from one pair only, so shares don't overlap and together are the whole.
+    """
     m = len(members)
     every = sum(w[i][j] for i, j in combinations(range(m), 2))
     if m < 2:
@@ -259,7 +263,7 @@ def solve_host(members: list[int], w: list[list[int]], tau: int, method: str = "
     full = (1 << m) - 1
     adj = [full & ~(1 << i) for i in range(m)]
     rows = [{j: x for j, x in enumerate(r) if j != i} for i, r in enumerate(w)]
-    yield from canonical(adj, rows, members, [(i, j) for i, j in combinations(range(m), 2) if w[i][j] >= tau], tau, steps=Steps(budget))
+    yield from canonical(adj, rows, members, [(i, j) for i, j in combinations(range(m), 2) if w[i][j] >= tau and i % part[1] == part[0]], tau, steps=Steps(budget))
 
 
 Kernel = Callable[..., Iterator[tuple[tuple[int, ...], int]]]

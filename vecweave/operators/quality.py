@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sets import pairs_of, size_bin
+from ..functions.sets import pairs_of, size_bin, within
 
 PLACES = 6
 
@@ -164,10 +164,19 @@ def cases(groups: DataFrame, sims: DataFrame, tau_q: int, pool: int = 2000, top:
 
 
 def fragmentation(one: DataFrame, others: DataFrame) -> DataFrame:
-    """(clique, outputs, intersections, largest): for each set of ``one(clique)`` the sets of ``others(clique)`` that meet
-    it, the different intersections, and the largest of these."""
+    """(clique, outputs, intersections, largest, induced): for each set of ``one(clique)`` the sets of ``others(clique)``
+    that meet it, the different intersections, the largest of these, and how many of them no other contains.
+
+    Where ``others`` are the maximal cliques of a graph, the last are the maximal cliques of the graph induced on the set.
+    """
     a = one.select("clique", F.explode("clique").alias("v"))
     b = others.select(F.col("clique").alias("other"), F.explode("clique").alias("v"))
     met = a.join(b, "v").groupBy("clique", "other").agg(F.array_sort(F.collect_list("v")).alias("both"))
-    found = met.groupBy("clique").agg(F.count("*").alias("outputs"), F.countDistinct("both").alias("intersections"), F.max(F.size("both")).alias("largest"))
-    return one.select("clique").join(found, "clique", "left").na.fill(0, ["outputs", "intersections", "largest"])
+    met = met.groupBy("clique", "both").agg(F.count("*").alias("n"))
+    # One that contains another holds its first member.
+    member = met.select("clique", F.col("both").alias("wide"), F.explode("both").alias("v"))
+    met = met.withColumn("v", F.col("both")[0])
+    inner = (F.size("wide") > F.size("both")) & within(F.col("both"), F.col("wide"))
+    kept = met.alias("m").join(member.alias("w"), (F.col("m.clique") == F.col("w.clique")) & (F.col("m.v") == F.col("w.v")) & inner, "left_anti").groupBy("clique").agg(F.count("*").alias("induced"))
+    found = met.groupBy("clique").agg(F.sum("n").alias("outputs"), F.count("*").alias("intersections"), F.max(F.size("both")).alias("largest"))
+    return one.select("clique").join(found, "clique", "left").join(kept, "clique", "left").na.fill(0, ["outputs", "intersections", "largest", "induced"])

@@ -131,6 +131,12 @@ def host_top_edges(spark, sf_dir):
     return C.host_top_edges(C.structural(s), s).select(F.array_join("clique", ",").alias("clique"), F.array_join(F.col("top").cast("array<string>"), ",").alias("top"))
 
 
+@query("hosts_of_pairs", ctes("band", 80) + "," + _PAIRS.format("mce") + " SELECT u, v, count(*) AS hosts FROM p, tau WHERE s >= t GROUP BY u, v")
+def hosts_of_pairs(spark, sf_dir):
+    s = materialise(sims(spark, sf_dir, "band"))
+    return C.hosts_of_pairs(C.structural(s), s, S.tau_value(s, 80))
+
+
 @query(
     "layer_bounds",
     ctes("ring") + "," + _PAIRS.format("mce") + """, r AS (SELECT c, k, row_number() OVER (PARTITION BY c ORDER BY s DESC) i, sum(s) OVER (PARTITION BY c ORDER BY s DESC ROWS UNBOUNDED PRECEDING) t FROM p)
@@ -316,7 +322,7 @@ def case_select(spark, sf_dir):
     return Q.cases(found, s, tau)
 
 
-@query("fragmentation", ctes("ring", 80) + ", x AS (SELECT a.c, list_sort(list_intersect(a.c, o.c)) i FROM msc a JOIN mce o ON list_has_any(a.c, o.c)) SELECT array_to_string(c, ',') AS clique, count(*) AS outputs, count(DISTINCT i) AS intersections, CAST(max(len(i)) AS BIGINT) AS largest FROM x GROUP BY c")
+@query("fragmentation", ctes("ring", 80) + ", x AS (SELECT a.c, list_sort(list_intersect(a.c, o.c)) i FROM msc a JOIN mce o ON list_has_any(a.c, o.c)), y AS (SELECT DISTINCT c, i FROM x) SELECT array_to_string(c, ',') AS clique, count(*) AS outputs, count(DISTINCT i) AS intersections, CAST(max(len(i)) AS BIGINT) AS largest, (SELECT count(*) FROM y WHERE y.c = x.c AND NOT EXISTS (SELECT 1 FROM y z WHERE z.c = y.c AND len(z.i) > len(y.i) AND list_has_all(z.i, y.i))) AS induced FROM x GROUP BY c")
 def fragmentation(spark, sf_dir):
     found, s, _ = family_of(spark, sf_dir)
     return Q.fragmentation(found, C.structural(s)).withColumn("clique", F.array_join("clique", ","))
