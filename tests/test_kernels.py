@@ -135,3 +135,128 @@ def test_shares_of_a_host_are_the_whole():
         whole = sorted(K.solve_host(list(range(m)), w, 6, "canonical"))
         shares = [x for k in range(5) for x in K.solve_host(list(range(m)), w, 6, "canonical", part=(k, 5))]
         assert whole and sorted(shares) == whole
+
+
+def test_owned_sets_and_bounds():
+    """From the lowest pair, with and without bounds: the same sets, and bounds only ever save states."""
+    rng = random.Random(21)
+    saved = 0
+    for _ in range(300):
+        n, w, adj, tau = instance(rng)
+        msc = brute(n, w, tau)[2]
+        name = rng.sample(range(100), n)
+        roots = [(i, j) for i, j in combinations(range(n), 2) if j in w[i] and w[i][j] >= tau]
+        seen = {}
+        for use in ((), ("frontier",), ("depth",), ("frontier", "depth")):
+            counters = seen[use] = {}
+            found = [mask(c) for c, _ in K.owned(adj, w, name, roots, tau, counters, use=use)]
+            assert len(found) == len(set(found)) and maximal(found) == msc
+            by_root, free = [], {}
+            for r in range(n):
+                above = (1 << n) - 1 & ~((2 << r) - 1)
+                by_root += [mask(c) for c, _ in K.pivot_free(adj, w, r, adj[r] & above, adj[r] & ~above, tau, None, free, use)]
+            assert sorted(by_root) == sorted(msc)
+            counters["free"] = free["states"]
+        for use in (("frontier",), ("depth",)):
+            assert seen["frontier", "depth"]["states"] <= seen[use]["states"] <= seen[()]["states"]
+            assert seen["frontier", "depth"]["free"] <= seen[use]["free"] <= seen[()]["free"]
+        assert seen[()]["states"] <= seen[()]["free"]
+        saved += seen[()]["free"] - seen["frontier", "depth"]["free"]
+    assert saved > 1000
+
+
+def test_a_lowest_pair_that_feasible_steps_do_not_reach():
+    """0 1 is the lowest pair of a feasible set of four, and no set of three around it is feasible."""
+    w = [{1: 50, 2: 45, 3: 45}, {0: 50, 2: 45, 3: 45}, {0: 45, 1: 45, 3: 75}, {0: 45, 1: 45, 2: 75}]
+    adj = [15 & ~(1 << i) for i in range(4)]
+    roots = [(0, 1), (2, 3)]
+    assert brute(4, w, 50)[2] == {15}
+    assert maximal([mask(c) for c, _ in K.owned(adj, w, [0, 1, 2, 3], roots, 50)]) == {15}
+    check(4, w, adj, 50)
+
+
+def test_depth_and_growth_bounds_are_never_below_the_best():
+    rng = random.Random(4)
+    for _ in range(200):
+        n, w, adj, tau = instance(rng, 3, 8)
+        feasible = brute(n, w, tau)[1]
+        assert max((f.bit_count() for f in feasible), default=1) <= K.depth_limit(w, (1 << n) - 1, tau)
+        for c, s in K.all_cliques(adj, w, (1 << n) - 1):
+            cand = [v for v in range(n) if all(v in w[u] for u in c)]
+            best = K.best_links(w, sum(1 << v for v in cand))
+            gains = [sum(w[v][u] for u in c) for v in cand]
+            if any(f & mask(c) == mask(c) and f != mask(c) for f in feasible):
+                assert K.can_grow(s, len(c), gains, [best[v] for v in cand], tau)
+
+
+def test_the_scan_ends_at_the_first_that_cannot_be_a_child():
+    """Reached sets, rejects and terminals as by comparing every candidate; fewer are compared."""
+    rng = random.Random(9)
+    less = 0
+    for _ in range(200):
+        n, w, adj, tau = instance(rng, 4, 10, 0.9)
+        roots = [(i, j) for i, j in combinations(range(n), 2) if j in w[i] and w[i][j] >= tau]
+        counters = {}
+        found = [mask(c) for c, _ in K.canonical(adj, w, list(range(n)), roots, tau, counters)]
+        feasible = brute(n, w, tau)[1]
+        grow = {f: [v for v in range(n) if not f >> v & 1 and f | 1 << v in feasible] for f in feasible}
+        assert counters["states"] == len(feasible) and sorted(found) == sorted(f for f, g in grow.items() if not g)
+        children = sum(f.bit_count() > 2 for f in feasible)
+        assert counters["rejects"] == sum(map(len, grow.values())) - children
+        less += sum(map(len, grow.values())) - counters["looked"]
+        assert children <= counters["looked"] <= sum(map(len, grow.values()))
+    assert less > 100
+
+
+def test_searches_that_stay_in_shared_hosts():
+    """Only hosts that aren't feasible need a search; feasible ones stand for their subsets."""
+    rng = random.Random(13)
+    fewer = 0
+    for _ in range(300):
+        n, w, adj, tau = instance(rng)
+        structural, feasible, msc = brute(n, w, tau)
+        bad = [h for h in structural if h not in feasible]
+        hosts = [sum(1 << k for k, h in enumerate(bad) if h >> v & 1) for v in range(n)]
+        roots = [(i, j) for i, j in combinations(range(n), 2) if j in w[i] and w[i][j] >= tau]
+        inside, every = {}, {}
+        found = [mask(c) for c, _ in K.canonical(adj, w, list(range(n)), roots, tau, inside, hosts=hosts)]
+        list(K.canonical(adj, w, list(range(n)), roots, tau, every))
+        assert len(found) == len(set(found)) and maximal(found + [h for h in structural if h in feasible]) == msc
+        assert inside["states"] == sum(any(f & h == f for h in bad) for f in feasible) <= every["states"]
+        fewer += every["states"] - inside["states"]
+    assert fewer > 200
+
+
+def test_layers_in_parts_are_the_whole():
+    rng = random.Random(17)
+    for _ in range(60):
+        m = rng.randint(4, 9)
+        w = [[0] * m for _ in range(m)]
+        for i, j in combinations(range(m), 2):
+            w[i][j] = w[j][i] = rng.randint(-9, 9)
+        found = []
+        for k in K.open_layers(w, 3):
+            larger = list(found)
+            parts = [x for first in range(m - k + 1) for x, _ in K.subsets_of_size(w, k, 3, larger, K.Steps(), first)]
+            assert sorted(parts) == sorted(x for x, _ in K.subsets_of_size(w, k, 3, larger, K.Steps()))
+            assert set(parts) == {mask(c) for c in combinations(range(m), k) if 2 * sum(w[i][j] for i, j in combinations(c, 2)) >= 3 * k * (k - 1) and not any(mask(c) & ~f == 0 for f in larger)}
+            found += parts
+        assert maximal(found) == set(found) == {mask(c) for c, _ in K.host_subsets(w, 3)}
+
+
+def test_number_of_combinations():
+    from math import comb
+
+    for n in range(12):
+        for k in range(n + 1):
+            for most in (1, 2, 50, 462, 463):
+                assert K.at_least(n, k, most) == (comb(n, k) >= most)
+    assert K.at_least(4000, 2000, 250_000)
+
+
+def test_deep_sets_need_no_recursion():
+    n = 1500
+    w = [{u: 9 for u in range(n) if u != v} for v in range(n)]
+    adj = [(1 << n) - 1 & ~(1 << v) for v in range(n)]
+    with pytest.raises(K.TooMany):  # and no RecursionError
+        next(K.pivot_free(adj, w, 0, (1 << n) - 2, 0, 9, K.Steps(n + 5)))

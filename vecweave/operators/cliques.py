@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.sets import signature, within
@@ -19,11 +20,14 @@ from . import kernels as K
 from .graph import both_ways, degrees, oriented
 
 CLIQUE = "clique array<long>, sum_q long"
+_COUNTERS = f"counters struct<{', '.join(f'{k}: long' for k in K.COUNTED)}>"
 #: Neighbours of a vertex up to which its neighbourhood may be one row of a task.
 HUB = 20_000
 #: Members of a host from which its canonical search is split, and into how many tasks.
 SPLIT, SHARES = 40, 16
-ALGORITHMS = ("layered", "layered_canonical", "canonical", "visited", "strsub", "sem_bk", "host_canonical")
+#: Subsets of one size from which a host's are dealt out by their first member.
+COMBINATIONS = 250_000
+ALGORITHMS = ("layered", "layered_canonical", "canonical", "visited", "owned", "shared_hosts", "strsub", "sem_bk", "host_canonical")
 
 
 def _out(rows: list[tuple[list[int], int]]) -> pa.RecordBatch:
@@ -41,75 +45,129 @@ def _in_batches(found: Iterator[tuple[list[int], int]], rows: int = 20_000) -> I
         yield _out(held)
 
 
+def _searched(rows: DataFrame, each, watch: Observation | None = None) -> DataFrame:
+    """The sets that ``each(batch, counters)`` finds in the batches of ``rows``.
+
+    With ``watch`` every task adds a row of what it counted, which the observation sums as the rows go by: counts and
+    result come out of one run, and a task that is run again counts once.
+    """
+
+    watched = watch is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[str, int] = {}
+        found = _in_batches(x for b in batches for x in each(b, counters))
+        if not watched:
+            yield from found
+            return
+        none = pa.nulls
+        kind = pa.struct([(k, pa.int64()) for k in K.COUNTED])
+        for b in found:
+            yield pa.RecordBatch.from_arrays([*b.columns, none(len(b), kind)], ["clique", "sum_q", "counters"])
+        yield pa.RecordBatch.from_arrays([none(1, pa.list_(pa.int64())), none(1, pa.int64()), pa.array([{k: counters.get(k, 0) for k in K.COUNTED}], kind)], ["clique", "sum_q", "counters"])
+
+    if watch is None:
+        return rows.mapInArrow(run, CLIQUE)
+    seen = rows.mapInArrow(run, f"{CLIQUE}, {_COUNTERS}").observe(watch, *(F.coalesce(F.sum(f"counters.{k}"), F.lit(0)).alias(k) for k in K.COUNTED))
+    return seen.where("clique is not null").select("clique", "sum_q")
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (a, b, ab, out, theirs), an edge with the edges out of its ends, the links (id, x, ys, ss) of each triangle's
+    three vertices: those between x and each of ys, as a or b sees them in one row and a third vertex in rows of one."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        a, b, ab = (batch.column(k).to_numpy() for k in range(3))
+        sides = []
+        for k in (3, 4):
+            lists = batch.column(k)
+            x = lists.flatten()
+            at = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            sides.append((at, x.field(0).to_numpy(), x.field(1).to_numpy()))
+        (at, c, ac), (at2, c2, bc2) = sides
+        names, code = np.unique(np.concatenate([c, c2]), return_inverse=True)
+        mine, theirs = at * len(names) + code[: len(c)], at2 * len(names) + code[len(c) :]  # both rise
+        place = np.minimum(np.searchsorted(theirs, mine), max(0, len(theirs) - 1))
+        hit = np.flatnonzero(theirs[place] == mine) if len(theirs) else np.zeros(0, np.int64)
+        at, c, ac, bc = at[hit], c[hit], ac[hit], bc2[place[hit]]
+        rows, n = np.unique(at, return_counts=True)
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        single = pa.array(np.arange(len(c) + 1, dtype=np.int32))
+        lists = lambda offsets, values: pa.ListArray.from_arrays(offsets, pa.array(values))
+        for ids, x, ys, ss, offsets in ((a[rows], b[rows], c, bc, ends), (b[rows], a[rows], c, ac, ends), (c, a[at], b[at], ab[at], single)):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(x), lists(offsets, ys), lists(offsets, ss)], ["id", "x", "ys", "ss"])
+
+
 def neighbourhoods(sims: DataFrame, tau_q: int | None = None) -> DataFrame:
-    """(id, nbrs, links) for each vertex: its neighbours (nbr, sim_q, first) and the links (x, y, sim_q) among them.
+    """(id, nbrs, links) for each vertex: its neighbours (nbr, sim_q, first) and the links (x, ys, ss) among them.
 
     With ``tau_q`` only for vertices that a pair reaching it starts from, so that no other neighbourhood is gathered.
 
-    Vertices are ordered by (degree, id); ``first`` tells that the neighbour comes before the vertex. Each triangle is
-    formed once, at its first vertex, and sent to the three vertices.
+    Vertices are ordered by (degree, id); ``first`` tells that the neighbour comes before the vertex. A vertex holds its
+    edges out as one array, about sqrt(2E) at most, and an edge meets the arrays of its two ends, so no path of two edges
+    is a row: a triangle is a row for one of its vertices and part of an array for the others.
     """
     o = materialise(oriented(sims, "sim_q"))
-    wedge = o.select("a", "b", F.col("sim_q").alias("ab")).join(o.select("a", F.col("b").alias("c"), F.col("sim_q").alias("ac")), "a")
-    tri = wedge.join(o.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("sim_q").alias("bc")), ["b", "c"])
-    sides = F.array(
-        F.struct(F.col("a").alias("id"), F.struct(F.col("b").alias("x"), F.col("c").alias("y"), F.col("bc").alias("s")).alias("l")),
-        F.struct(F.col("b").alias("id"), F.struct(F.col("a").alias("x"), F.col("c").alias("y"), F.col("ac").alias("s")).alias("l")),
-        F.struct(F.col("c").alias("id"), F.struct(F.col("a").alias("x"), F.col("b").alias("y"), F.col("ab").alias("s")).alias("l")),
-    )
+    out = materialise(o.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("b", "sim_q"))).alias("out")))
+    sent = out.where("size(out) > 1").select("a", "out", F.explode("out").alias("e")).select("a", "e.b", F.col("e.sim_q").alias("ab"), "out")
+    met = sent.join(out.select(F.col("a").alias("b"), F.col("out").alias("theirs")), "b").select("a", "b", "ab", "out", "theirs")
     roots = None if tau_q is None else o.where(F.col("sim_q") >= tau_q).select(F.col("a").alias("id")).distinct()
     rooted = lambda df: df if roots is None else df.join(roots, "id", "left_semi")
-    links = rooted(tri.select(F.explode(sides).alias("e")).select("e.*")).groupBy("id").agg(F.collect_list("l").alias("links"))
+    links = rooted(met.mapInArrow(_common, "id long, x long, ys array<long>, ss array<long>")).groupBy("id").agg(F.collect_list(F.struct("x", "ys", "ss")).alias("links"))
     ends = F.array(F.struct(F.col("a").alias("id"), F.struct(F.col("b").alias("nbr"), "sim_q", F.lit(False).alias("first")).alias("n")), F.struct(F.col("b").alias("id"), F.struct(F.col("a").alias("nbr"), "sim_q", F.lit(True).alias("first")).alias("n")))
     nbrs = rooted(o.select(F.explode(ends).alias("e")).select("e.*")).groupBy("id").agg(F.collect_list("n").alias("nbrs"))
     return nbrs.join(links, "id", "left").select("id", "nbrs", "links")
 
 
-def _local(row_id: int, nbrs: list[dict], links: list[dict] | None) -> tuple[list[int], list[int], list[dict[int, int]], int, int]:
+def _local(row_id: int, nbrs: pa.ListScalar, links: pa.ListScalar) -> tuple[list[int], list[int], list[dict[int, int]], int, int]:
     """names, adj, w, later and earlier of one neighbourhood; the vertex itself is 0, others in the order of their ids."""
-    nbrs = sorted(nbrs, key=lambda n: n["nbr"])
-    names = [row_id, *(n["nbr"] for n in nbrs)]
-    at = {v: k for k, v in enumerate(names)}
-    adj, w, later, earlier = [0] * len(names), [{} for _ in names], 0, 0
-    for n in nbrs:
-        k = at[n["nbr"]]
-        adj[0] |= 1 << k
-        adj[k] |= 1
-        w[0][k] = w[k][0] = n["sim_q"]
-        if n["first"]:
+    ids, sims, first = (nbrs.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    order = np.argsort(ids)
+    ids = ids[order]
+    names = [row_id, *ids.tolist()]
+    adj, w, later, earlier = [(1 << len(names)) - 2, *[1] * len(ids)], [{} for _ in names], 0, 0
+    for k, (s, before) in enumerate(zip(sims[order].tolist(), first[order].tolist(), strict=True), 1):
+        w[0][k] = w[k][0] = s
+        if before:
             earlier |= 1 << k
         else:
             later |= 1 << k
-    for e in links or ():
-        i, j = at[e["x"]], at[e["y"]]
-        adj[i] |= 1 << j
-        adj[j] |= 1 << i
-        w[i][j] = w[j][i] = e["s"]
+    if links.is_valid:
+        x, ys, ss = (links.values.field(k) for k in range(3))
+        ends = np.repeat(x.to_numpy(), ys.value_lengths().to_numpy())
+        both = zip((np.searchsorted(ids, ends) + 1).tolist(), (np.searchsorted(ids, ys.flatten().to_numpy()) + 1).tolist(), ss.flatten().to_pylist(), strict=True)
+        for i, j, s in both:
+            w[i][j] = w[j][i] = s
+        for k in range(1, len(names)):
+            for j in w[k]:
+                adj[k] |= 1 << j
     return names, adj, w, later, earlier
 
 
-def _over_neighbourhoods(sims: DataFrame, solve, tau_q: int | None = None) -> DataFrame:
-    """Apply ``solve(names, adj, w, later, earlier)`` to every vertex, costly ones dealt apart from each other."""
+def _over_neighbourhoods(sims: DataFrame, solve, tau_q: int | None = None, watch: Observation | None = None, held: DataFrame | None = None) -> DataFrame:
+    """Apply ``solve(names, adj, w, later, earlier, counters, hosts)`` to every vertex, costly ones dealt apart from each
+    other. ``held(id, hosts)`` gives vertices their hosts; those without have none."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[list[int], int]]:
-            for b in batches:
-                for i, n, x in zip(*(b.column(k) for k in range(3)), strict=True):
-                    local = _local(i.as_py(), n.as_py(), x.as_py())
-                    for c, s in solve(*local):
-                        yield [local[0][v] for v in c], s
+    confined = held is not None
 
-        yield from _in_batches(each())
+    def each(b: pa.RecordBatch, counters: dict[str, int]) -> Iterator[tuple[list[int], int]]:
+        for i in range(len(b)):
+            local = _local(b.column(0)[i].as_py(), b.column(1)[i], b.column(2)[i])
+            for c, s in solve(*local, counters, b.column(3)[i].as_py() if confined else None):
+                yield [local[0][v] for v in c], s
 
     n = 4 * sims.sparkSession.sparkContext.defaultParallelism
-    dealt = neighbourhoods(sims, tau_q).repartition(n, "id")
-    return dealt.mapInArrow(run, CLIQUE)
+    dealt = neighbourhoods(sims, tau_q)
+    if confined:
+        dealt = dealt.join(held, "id")
+    return _searched(dealt.repartition(n, "id"), each, watch)
 
 
 def structural(sims: DataFrame, vertices: DataFrame | None = None, budget: int = K.BUDGET) -> DataFrame:
     """Maximal cliques, whatever their similarity; isolated vertices are cliques of one when ``vertices`` are given."""
 
-    def solve(names, adj, w, later, earlier):
+    def solve(names, adj, w, later, earlier, counters, hosts):
         steps = K.Steps(budget)
         for c in K.maximal_cliques(adj, later, earlier, (0,), steps):
             yield c, sum(w[a][b] for i, a in enumerate(c) for b in c[:i])
@@ -126,7 +184,7 @@ def sized(df: DataFrame) -> DataFrame:
 
 
 def feasible_rows(df: DataFrame, tau_q: int) -> DataFrame:
-    return df.where((F.col("size") >= 2) & (2 * F.col("sum_q") >= F.lit(tau_q) * F.col("size") * (F.col("size") - 1)))
+    return df.where((F.col("size") >= 2) & (2 * F.col("sum_q") >= F.lit(tau_q).cast("long") * F.col("size") * (F.col("size") - 1)))
 
 
 def maximal_only(found: DataFrame) -> DataFrame:
@@ -161,7 +219,7 @@ def layers(sims: DataFrame, tau_q: int, owned: bool = False, max_rounds: int = 1
     for _ in range(max_rounds):
         grown = now.select("clique", "sum_q", "inner", F.posexplode("clique").alias("pos", "m")).join(adj, "m")
         grown = grown.groupBy("clique", "v").agg(F.first("sum_q").alias("sum_q"), F.first("inner").alias("inner"), F.count("*").alias("n"), F.sum("sim_q").alias("add"), F.array_sort(F.collect_list(F.struct("pos", "sim_q"))).alias("links"))
-        grown = grown.where("n = size(clique) and not array_contains(clique, v)").where(2 * (F.col("sum_q") + F.col("add")) >= F.lit(tau_q) * (F.col("n") + 1) * F.col("n"))
+        grown = grown.where("n = size(clique) and not array_contains(clique, v)").where(2 * (F.col("sum_q") + F.col("add")) >= F.lit(tau_q).cast("long") * (F.col("n") + 1) * F.col("n"))
         grown = materialise(grown.withColumn("inner", F.zip_with("inner", F.col("links.sim_q"), lambda a, b: a + b)).select("clique", "v", "sum_q", "inner", "add"))
         ended = now.select("clique", "sum_q").join(grown.select("clique").distinct().withColumn("more", F.lit(True)), "clique", "left").select("clique", "sum_q", F.col("more").isNull().alias("terminal"))
         done = ended if done is None else done.unionByName(ended)
@@ -198,39 +256,120 @@ def hosts_of_pairs(hosts: DataFrame, sims: DataFrame, tau_q: int) -> DataFrame:
     return ends.groupBy("u", "v").agg(F.count("*").alias("hosts"))
 
 
-def from_hosts(hosts: DataFrame, sims: DataFrame, tau_q: int, method: str, budget: int = K.BUDGET, split: int = SPLIT) -> DataFrame:
-    """Candidates of each host. Hosts that are feasible, or have no pair that reaches the threshold, need no search; those
-    of ``split`` members or more are searched in SHARES tasks by the canonical method, each with a budget of its own."""
+def hosts_at_roots(hosts: DataFrame, sims: DataFrame, tau_q: int) -> DataFrame:
+    """(id, hosts): for each vertex that a supporting pair starts from, in the order of (degree, id), the hosts that hold
+    such a pair. Hosts that are feasible need no search and are left out."""
+    pairs = oriented(sims, "sim_q").where(F.col("sim_q") >= tau_q).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.col("a").alias("id"))
+    h = hosts.where((F.col("size") >= 2) & (2 * F.col("sum_q") < F.lit(tau_q).cast("long") * F.col("size") * (F.col("size") - 1))).select("clique")
+    two = F.expr("flatten(transform(clique, (a, i) -> transform(slice(clique, i + 2, size(clique)), b -> struct(a as u, b as v))))")
+    held = h.select("clique", F.explode(two).alias("p")).select("clique", "p.*").join(pairs, ["u", "v"]).select("id", "clique").distinct()
+    return held.groupBy("id").agg(F.collect_list("clique").alias("hosts"))
+
+
+def _host_rows(hosts: DataFrame, sims: DataFrame, tau_q: int) -> tuple[DataFrame, DataFrame]:
+    """(feasible hosts, others with (i, j, s) of their pairs); those without a pair that reaches the threshold are in neither."""
     paired = hosts_with_pairs(hosts, sims).withColumn("best", F.array_max("pairs.s")).where(F.col("best") >= tau_q)
     paired = paired.withColumn("sum_q", F.aggregate("pairs", F.lit(0).cast("long"), lambda a, p: a + p["s"])).withColumn("size", F.size("clique"))
     paired = materialise(paired)
-    good = 2 * F.col("sum_q") >= F.lit(tau_q) * F.col("size") * (F.col("size") - 1)
+    good = 2 * F.col("sum_q") >= F.lit(tau_q).cast("long") * F.col("size") * (F.col("size") - 1)
+    return paired.where(good).select("clique", "sum_q"), paired.where(~good).select("clique", "pairs", "size")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def each() -> Iterator[tuple[list[int], int]]:
-            for b in batches:
-                for members, pairs, k, n in zip(*(b.column(x).to_pylist() for x in range(4)), strict=True):
-                    w = [[0] * len(members) for _ in members]
-                    for p in pairs:
-                        w[p["i"]][p["j"]] = w[p["j"]][p["i"]] = p["s"]
-                    for c, s in K.solve_host(members, w, tau_q, method, budget=budget, part=(k, n)):
-                        yield [members[v] for v in c], s
 
-        yield from _in_batches(each())
+def _matrix(members: list[int], pairs: list[dict]) -> list[list[int]]:
+    w = [[0] * len(members) for _ in members]
+    for p in pairs:
+        w[p["i"]][p["j"]] = w[p["j"]][p["i"]] = p["s"]
+    return w
+
+
+def from_hosts(hosts: DataFrame, sims: DataFrame, tau_q: int, method: str, budget: int = K.BUDGET, split: int = SPLIT, combinations: int = COMBINATIONS, watch: Observation | None = None) -> DataFrame:
+    """Candidates of each host. Hosts that are feasible, or have no pair that reaches the threshold, need no search. By the
+    canonical method those of ``split`` members or more are searched in SHARES tasks, each with its part of the budget;
+    by subsets, those with ``combinations`` or more subsets of a size that their bounds leave open go to layered_subsets()."""
+    good, paired = _host_rows(hosts, sims, tau_q)
+
+    def each(b: pa.RecordBatch, counters: dict[str, int]) -> Iterator[tuple[list[int], int]]:
+        for members, pairs, k, n in zip(*(b.column(x).to_pylist() for x in range(4)), strict=True):
+            for c, s in K.solve_host(members, _matrix(members, pairs), tau_q, method, budget=budget, part=(k, n), counters=counters):
+                yield [members[v] for v in c], s
 
     n = 4 * sims.sparkSession.sparkContext.defaultParallelism
-    shares = F.when(F.lit(method == "canonical") & (F.col("size") >= split), SHARES).otherwise(1)
-    dealt = paired.where(~good).select("clique", "pairs", shares.alias("shares")).withColumn("share", F.explode(F.expr("sequence(0, shares - 1)")))
-    searched = dealt.select("clique", "pairs", "share", "shares").repartition(n, "clique", "share").mapInArrow(run, CLIQUE)
-    return sized(paired.where(good).select("clique", "sum_q").unionByName(searched))
+    found = good
+    if method == "canonical":
+        shares = F.when(F.col("size") >= split, SHARES).otherwise(1)
+        dealt = paired.select("clique", "pairs", shares.alias("shares")).withColumn("share", F.explode(F.expr("sequence(0, shares - 1)")))
+    else:
+        # The number of subsets of half the size bounds that of any size.
+        large = F.expr(f"aggregate(sequence(1, greatest(1, size div 2)), 1.0D, (c, i) -> c * (size - i + 1) / i) >= {float(combinations)}D")
+        found = found.unionByName(layered_subsets(paired.where(large).select("clique", "pairs"), tau_q, budget, combinations, watch=None))
+        dealt = paired.where(~large).select("clique", "pairs", F.lit(1).alias("shares"), F.lit(0).alias("share"))
+    return sized(found.unionByName(_searched(dealt.select("clique", "pairs", "share", "shares").repartition(n, "clique", "share"), each, watch)))
+
+
+def layered_subsets(paired: DataFrame, tau_q: int, budget: int = K.BUDGET, combinations: int = COMBINATIONS, watch: Observation | None = None) -> DataFrame:
+    """(clique, sum_q): the feasible subsets of large hosts(clique, pairs) that no larger one contains.
+
+    Sizes go down for all hosts together, a job for each size that the bounds of some host leave open. A host with many
+    subsets of a size has them dealt out by their first member, one share of the budget each; every task gets the host's
+    sets of larger sizes, which are fixed by then. Each size is a checkpoint.
+    """
+    rows = materialise(paired.withColumn("host", F.array_join("clique", ",")))
+    found = rows.select("clique", F.lit(0).cast("long").alias("sum_q"), "host").where("false")
+    if not rows.limit(1).count():
+        return found.drop("host")
+
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hosts, members, pairs = (b.column(k) for k in range(3))
+            layers = [K.open_layers(_matrix(m, p), tau_q) for m, p in zip(members.to_pylist(), pairs.to_pylist(), strict=True)]
+            parts = [[len(m) - k + 1 if K.at_least(len(m), k, combinations) else 1 for k in ks] for m, ks in zip(members.to_pylist(), layers, strict=True)]
+            yield pa.RecordBatch.from_arrays([hosts, pa.array(layers, pa.list_(pa.int32())), pa.array(parts, pa.list_(pa.int32()))], ["host", "layers", "parts"])
+
+    n = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    layers = rows.select("host", "clique", "pairs").repartition(n, "host").mapInArrow(bounds, "host string, layers array<int>, parts array<int>")
+    layers = materialise(layers.select("host", F.explode(F.arrays_zip("layers", "parts")).alias("z")).select("host", F.col("z.layers").alias("k"), F.col("z.parts").alias("parts")))
+
+    for k in sorted((r.k for r in layers.select("k").distinct().collect()), reverse=True):  # as many as a host has members at most
+
+        def each(b: pa.RecordBatch, counters: dict[str, int], k: int = k) -> Iterator[tuple[list[int], int]]:
+            for members, pairs, larger, first, parts in zip(*(b.column(x).to_pylist() for x in range(5)), strict=True):
+                at = {v: i for i, v in enumerate(members)}
+                masks = [sum(1 << at[v] for v in c) for c in larger or ()]
+                for mask, s in K.subsets_of_size(_matrix(members, pairs), k, tau_q, masks, K.Steps(budget // parts), first if parts > 1 else None, counters=counters):
+                    yield [members[v] for v in K.bits(mask)], s
+
+        larger = found.groupBy("host").agg(F.collect_list("clique").alias("larger"))
+        task = layers.where(F.col("k") == k).withColumn("first", F.explode(F.expr("sequence(0, parts - 1)")))
+        task = task.join(rows, "host").join(larger, "host", "left").select("clique", "pairs", "larger", "first", "parts", "host")
+        fresh = _with_host(task.repartition(n, "host", "first"), each)
+        found = materialise(found.unionByName(fresh))
+    return found.drop("host")
 
 
-def msc(sims: DataFrame, tau_q: int, algorithm: str = "auto", budget: int = K.BUDGET) -> DataFrame:
+def _with_host(task: DataFrame, each) -> DataFrame:
+    """Sets with the host they were found in, as (clique, sum_q, host)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                one = b.slice(i, 1)
+                for rows in _in_batches(each(one, {})):
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([one.column(5)[0].as_py()] * len(rows))], ["clique", "sum_q", "host"])
+
+    return task.mapInArrow(run, f"{CLIQUE}, host string")
+
+
+def msc(sims: DataFrame, tau_q: int, algorithm: str = "auto", budget: int = K.BUDGET, watch: Observation | None = None) -> DataFrame:
     """Maximal sets whose average similarity reaches the threshold; clique, size, sum_q. Singletons are never in it.
 
     layered, layered_canonical: joins level by level. canonical, visited: searches from supporting pairs in the
-    neighbourhood of each pair's vertex of smaller degree. strsub, host_canonical: searches inside structural maximal
-    cliques. sem_bk: visits all cliques. auto: by the largest degree and the share of pairs that reach the threshold.
+    neighbourhood of each pair's vertex of smaller degree; owned: likewise, each set from its lowest supporting pair.
+    shared_hosts: as canonical, but inside the structural maximal cliques that hold the pair and aren't feasible. strsub,
+    host_canonical: searches inside each structural maximal clique. sem_bk: visits all cliques that its bounds leave. auto:
+    by the largest degree and the share of pairs that reach the threshold.
+
+    ``watch`` is an Observation that has what the search counted (kernels.COUNTED) once the result has been computed;
+    with layered plans and strsub's split hosts it isn't filled.
     """
     if algorithm == "auto":
         algorithm = choose(sims, tau_q)
@@ -239,17 +378,32 @@ def msc(sims: DataFrame, tau_q: int, algorithm: str = "auto", budget: int = K.BU
     if algorithm in ("layered", "layered_canonical"):
         return maximal_only(layers(sims, tau_q, owned=algorithm == "layered_canonical").where("terminal").drop("terminal"))
     if algorithm in ("strsub", "host_canonical"):
-        return maximal_only(from_hosts(structural(sims), sims, tau_q, "subsets" if algorithm == "strsub" else "canonical", budget))
+        return maximal_only(from_hosts(structural(sims), sims, tau_q, "subsets" if algorithm == "strsub" else "canonical", budget, watch=watch))
+    hosts = materialise(structural(sims)) if algorithm == "shared_hosts" else None
 
-    def solve(names, adj, w, later, earlier):
+    def solve(names, adj, w, later, earlier, counters, held):
         steps = K.Steps(budget)
         if algorithm == "sem_bk":
-            yield from K.pivot_free(adj, w, 0, later, earlier, tau_q, steps)
+            yield from K.pivot_free(adj, w, 0, later, earlier, tau_q, steps, counters)
             return
         roots = [(0, v) for v in K.bits(later) if w[0][v] >= tau_q]
-        yield from K.canonical(adj, w, names, roots, tau_q, steps=steps) if algorithm == "canonical" else K.visited(adj, w, roots, tau_q, steps)
-
-    found = sized(_over_neighbourhoods(sims, solve, None if algorithm == "sem_bk" else tau_q))
+        if algorithm == "visited":
+            yield from K.visited(adj, w, roots, tau_q, steps, counters)
+        elif algorithm == "owned":
+            yield from K.owned(adj, w, names, roots, tau_q, counters, steps)
+        else:
+            inside = None
+            if held is not None:
+                at, inside = {v: k for k, v in enumerate(names)}, [0] * len(names)
+                for k, h in enumerate(held):
+                    for v in h:
+                        inside[at[v]] |= 1 << k
+            yield from K.canonical(adj, w, names, roots, tau_q, counters, steps, inside)
+
+    held = hosts_at_roots(hosts, sims, tau_q) if hosts is not None else None
+    found = sized(_over_neighbourhoods(sims, solve, None if algorithm == "sem_bk" else tau_q, watch, held))
+    if hosts is not None:
+        found = found.unionByName(feasible_rows(hosts, tau_q))
     return found if algorithm == "sem_bk" else maximal_only(found)
 
 
@@ -262,21 +416,17 @@ def choose(sims: DataFrame, tau_q: int, share: float = 0.3, hub: int = HUB) -> s
     return "canonical" if not n or up / n <= share else "host_canonical"
 
 
-def search_counters(sims: DataFrame, tau_q: int) -> DataFrame:
-    """One row: states, tests, rejects and terminals of the canonical search."""
-    keys = ("states", "tests", "rejects", "terminals")
+def counted(sims: DataFrame, tau_q: int, algorithm: str = "canonical", budget: int = K.BUDGET) -> tuple[DataFrame, dict[str, int]]:
+    """The result of a plan and what its search counted, from one run."""
+    watch = Observation()
+    found = materialise(msc(sims, tau_q, algorithm, budget, watch))
+    return found, dict(watch.get)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = dict.fromkeys(keys, 0)
-        for b in batches:
-            for i, n, x in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                names, adj, w, later, _ = _local(i, n, x)
-                for _ in K.canonical(adj, w, names, [(0, v) for v in K.bits(later) if w[0][v] >= tau_q], tau_q, total):
-                    pass
-        yield pa.RecordBatch.from_pydict({k: [total[k]] for k in keys})
-
-    rows = neighbourhoods(sims, tau_q).mapInArrow(run, ", ".join(f"{k} long" for k in keys))
-    return rows.agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in keys))
+
+def search_counters(sims: DataFrame, tau_q: int, algorithm: str = "canonical") -> DataFrame:
+    """One row of what the search counts."""
+    n = counted(sims, tau_q, algorithm)[1]
+    return sims.sparkSession.createDataFrame([tuple(n[k] for k in K.COUNTED)], ", ".join(f"{k} long" for k in K.COUNTED))
 
 
 def pairsim_cliques(sims: DataFrame, vertices: DataFrame, tau_q: int) -> DataFrame:

@@ -7,10 +7,22 @@ similarities >= tau * k * (k - 1). All functions raise TooMany beyond ``budget``
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from heapq import nlargest
 from itertools import combinations
 
 BUDGET = 50_000_000
+#: Below every sum of links.
+NONE = -(1 << 50)
+#: What searches count: sets visited, candidates carried by them, those compared with the members, feasible extensions not
+#: followed, branches that a bound ended, sets met again, and sets that nothing extends.
+COUNTED = ("states", "tests", "looked", "rejects", "pruned", "duplicates", "terminals")
+
+
+def count(counters: dict[str, int], **more: int) -> None:
+    for key, n in more.items():
+        counters[key] = counters.get(key, 0) + n
 
 
 class TooMany(RuntimeError):
@@ -101,79 +113,186 @@ def has_feasible_superset(c: tuple[int, ...], total: int, cand: int, adj: list[i
     return False
 
 
-def pivot_free(adj: list[int], w: list[dict[int, int]], root: int, later: int, earlier: int, tau: int, steps: Steps | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
+def depth_limit(w: list[dict[int, int]], within: int, tau: int) -> int:
+    """The most members that a feasible set of vertices of ``within`` can have, by each vertex's best links.
+
+    k members' pairs sum to half of their k - 1 best links each at most, summed over the k vertices where this is most. A
+    set without its member of least links is no worse on average, so where k members can't do, more can't either.
+    """
+    links = [sorted((x for u, x in w[v].items() if within >> u & 1), reverse=True) for v in bits(within)]
+    sums = [0] * len(links)
+    for k in range(2, len(links) + 1):
+        # k - 1 links each; those with fewer are out
+        sums = [t + x[k - 2] for t, x in zip(sums, links, strict=True) if len(x) >= k - 1]
+        links = [x for x in links if len(x) >= k - 1]
+        if len(sums) < k or sum(nlargest(k, sums)) < tau * k * (k - 1):
+            return k - 1
+    return len(links)
+
+
+def can_grow(s: int, k: int, gains: list[int], best: list[int], tau: int) -> bool:
+    """Whether one or more candidates could make a set of k members with sum s feasible: never false if they can.
+
+    r of them add their links to the set, at most the r largest of ``gains``, and the pairs among themselves, at most half
+    of r - 1 times the r largest of ``best``, each candidate's best link to another.
+    """
+    total, inside = 2 * s, 0
+    for r, (g, b) in enumerate(zip(sorted(gains, reverse=True), sorted(best, reverse=True), strict=True), 1):
+        total += 2 * g
+        inside += b
+        if total + (r - 1) * inside >= tau * (k + r) * (k + r - 1):
+            return True
+    return False
+
+
+def best_links(w: list[dict[int, int]], within: int) -> dict[int, int]:
+    """For each vertex of ``within`` its best link there; far below any other where it has none."""
+    return {v: max((x for u, x in w[v].items() if within >> u & 1), default=NONE) for v in bits(within)}
+
+
+def pivot_free(adj: list[int], w: list[dict[int, int]], root: int, later: int, earlier: int, tau: int, steps: Steps | None = None, counters: dict[str, int] | None = None, use: tuple[str, ...] = ("frontier", "depth")) -> Iterator[tuple[tuple[int, ...], int]]:
     """Maximal feasible sets whose first vertex in the order is ``root``: every clique is visited, and each feasible one
-    is kept if no feasible superset is found among its descendants or with the help of vertices passed over before."""
-    steps = steps or Steps()
-    found: list[tuple[tuple[int, ...], int]] = []
+    is kept if no feasible superset is found among its descendants or with the help of vertices passed over before.
 
-    def search(c: tuple[int, ...], s: int, p: int, gain: dict[int, int]) -> bool:
-        """Whether a feasible set is at c or below."""
-        steps()
-        below = False
-        for v in bits(p):
-            q = p & adj[v] & ~((2 << v) - 1)
-            below |= search((*c, v), s + gain[v], q, {u: gain[u] + w[v][u] for u in bits(q)})
+    ``use`` names the bounds that end a branch: frontier (nothing below can be feasible) and depth (see depth_limit).
+    """
+    steps, counters = steps or Steps(), counters if counters is not None else {}
+    limit = depth_limit(w, later | 1 << root, tau) if "depth" in use else len(w)
+    best = best_links(w, later) if "frontier" in use else {}
+    states = pruned = 0
+    # A frame: members, sum, [(gain, candidate)] from the last to the next, whether a feasible set is below, how many of
+    # the candidates are still to be tried.
+    stack = [[(root,), 0, [(w[root][v], v) for v in bits(later)][::-1], False, None]]
+    states += 1
+    while stack:
+        frame = stack[-1]
+        c, s, cand, below, todo = frame
+        if todo is None:  # first seen
+            steps()
+            k = len(c)
+            frame[4] = todo = len(cand)
+            if cand and (k >= limit or (best and not can_grow(s, k, [g for g, _ in cand], [best[v] for _, v in cand], tau))):
+                pruned += 1
+                frame[4] = todo = 0
+        if todo:
+            frame[4] = todo = todo - 1
+            gain, v = cand[todo]
+            wv = w[v]
+            stack.append([(*c, v), s + gain, [(g + wv[x], x) for g, x in cand[:todo] if x in wv], False, None])
+            states += 1
+            continue
+        stack.pop()
         here = len(c) > 1 and feasible(s, len(c), tau)
         if here and not below:
             common = later | earlier
             for u in c:
                 common &= adj[u]
             if not has_feasible_superset(c, s, common, adj, w, tau, steps):
-                found.append((c, s))
-        return here or below
-
-    search((root,), 0, later, {v: w[root][v] for v in bits(later)})
-    yield from found
+                yield c, s
+        if stack:
+            stack[-1][3] |= here or below
+    count(counters, states=states, pruned=pruned)
 
 
-def canonical(adj: list[int], w: list[dict[int, int]], name: list[int], roots: list[tuple[int, int]], tau: int, counters: dict[str, int] | None = None, steps: Steps | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
+def canonical(adj: list[int], w: list[dict[int, int]], name: list[int], roots: list[tuple[int, int]], tau: int, counters: dict[str, int] | None = None, steps: Steps | None = None, hosts: list[int] | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
     """Feasible sets without a feasible extension by one vertex, each reached once from a pair of ``roots``.
 
     A set's parent lacks the member with the smallest (sum of links inside, name); this never lowers the average, so
     parents are feasible. A child is followed only from its parent. ``w`` has the adjacent vertices of each vertex and no
-    others. A state carries each candidate's sum of links to its members, so a test is one comparison.
+    others. A state carries each candidate's sum of links to its members in rising order: those from the first that keeps
+    the set feasible extend it, and from the first above what a member has on average none can be a child, for it would
+    raise the average, so the scan ends there.
+
+    With ``hosts``, for each vertex the bit set of the hosts that hold it, a search stays inside: a state carries the hosts
+    that hold all its members, its candidates are theirs, and roots in no host are left out.
     """
     steps, counters = steps or Steps(), counters if counters is not None else {}
-    states = tests = rejects = terminals = 0
+    states = tests = looked = rejects = terminals = 0
     stack = []
     for a, b in roots:
         s, wa, wb = w[a][b], w[a], w[b]
-        stack.append(((a, b), (s, s), s, [(v, wa[v] + wb[v]) for v in bits(adj[a] & adj[b])]))
+        active = hosts[a] & hosts[b] if hosts else 1
+        if active:
+            stack.append(((a, b), (s, s), s, sorted((wa[v] + wb[v], v) for v in bits(adj[a] & adj[b]) if not hosts or hosts[v] & active), active))
     try:
         while stack:
-            c, inner, s, cand = stack.pop()
+            c, inner, s, cand, active = stack.pop()
             steps()
             states += 1
             tests += len(cand)
-            k, extends = len(c), False
-            # 2 (s + gain) >= tau (k + 1) k, so a candidate needs this gain at least.
-            need = -((2 * s - tau * (k + 1) * k) // 2)
-            for v, add in cand:
-                if add < need:
-                    continue
-                extends = True  # before the test of ownership
+            k = len(c)
+            # 2 (s + gain) >= tau (k + 1) k, so an extension needs this gain at least; a child has 2 s / (k - 1) at most.
+            low = bisect_left(cand, (-((2 * s - tau * (k + 1) * k) // 2),))
+            if low == len(cand):
+                terminals += 1
+                yield c, s
+                continue
+            high = bisect_left(cand, (2 * s // (k - 1) + 1,), low)
+            looked += high - low
+            rejects += len(cand) - low
+            for add, v in cand[low:high]:
                 wv, mine = w[v], (add, name[v])
                 grown = [i + wv[u] for i, u in zip(inner, c, strict=True)]
                 if min(grown) <= add and any((g, name[u]) < mine for g, u in zip(grown, c, strict=True)):
-                    rejects += 1
                     continue
-                stack.append(((*c, v), (*grown, add), s + add, [(x, g + wv[x]) for x, g in cand if x in wv]))
-            if not extends:
+                rejects -= 1
+                if hosts:
+                    both = active & hosts[v]
+                    after = sorted((g + wv[x], x) for g, x in cand if x in wv and hosts[x] & both)
+                else:
+                    both, after = active, sorted((g + wv[x], x) for g, x in cand if x in wv)
+                stack.append(((*c, v), (*grown, add), s + add, after, both))
+    finally:
+        count(counters, states=states, tests=tests, looked=looked, rejects=rejects, terminals=terminals)
+
+
+def owned(adj: list[int], w: list[dict[int, int]], name: list[int], roots: list[tuple[int, int]], tau: int, counters: dict[str, int] | None = None, steps: Steps | None = None, use: tuple[str, ...] = ("frontier", "depth")) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Feasible sets without a feasible extension by one vertex, each found from the lowest of its pairs that reach tau.
+
+    Every feasible set holds such a pair. From a root all cliques around it are visited in a fixed order, but those with
+    a lower pair: they are another root's. So no set is found twice, without a test of parents, and none that is reached
+    through sets that aren't feasible is lost; ``use`` names the bounds that end branches as in pivot_free().
+    """
+    steps, counters = steps or Steps(), counters if counters is not None else {}
+    key = lambda u, v: (name[u], name[v]) if name[u] < name[v] else (name[v], name[u])
+    states = pruned = terminals = skipped = 0
+    for a, b in roots:
+        mine, both = key(a, b), adj[a] & adj[b]
+        within = both | 1 << a | 1 << b
+        lower = {v: sum(1 << u for u, x in w[v].items() if x >= tau and within >> u & 1 and key(u, v) < mine) for v in bits(within)}
+        limit = depth_limit(w, within, tau) if "depth" in use else len(w)
+        best = best_links(w, both) if "frontier" in use else {}
+        gains = [(w[a][v] + w[b][v], v) for v in bits(both)]
+        allowed = [(g, v) for g, v in gains if not lower[v] >> a & 1 and not lower[v] >> b & 1]
+        skipped += len(gains) - len(allowed)
+        stack = [((a, b), w[a][b], allowed, gains)]
+        while stack:
+            c, s, cand, common = stack.pop()
+            steps()
+            states += 1
+            k = len(c)
+            if feasible(s, k, tau) and not any(feasible(s + g, k + 1, tau) for g, _ in common):
                 terminals += 1
                 yield c, s
-    finally:
-        for key, n in zip(("states", "tests", "rejects", "terminals"), (states, tests, rejects, terminals), strict=True):
-            counters[key] = counters.get(key, 0) + n
+            if cand and (k >= limit or (best and not can_grow(s, k, [g for g, _ in cand], [best[v] for _, v in cand], tau))):
+                pruned += 1
+                continue
+            for at, (gain, v) in enumerate(cand):
+                wv, low = w[v], lower[v]
+                after = [(g + wv[x], x) for g, x in cand[at + 1 :] if x in wv and not low >> x & 1]
+                stack.append(((*c, v), s + gain, after, [(g + wv[x], x) for g, x in common if x in wv]))
+    count(counters, states=states, pruned=pruned, terminals=terminals, rejects=skipped)
 
 
-def visited(adj: list[int], w: list[dict[int, int]], roots: list[tuple[int, int]], tau: int, steps: Steps | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
+def visited(adj: list[int], w: list[dict[int, int]], roots: list[tuple[int, int]], tau: int, steps: Steps | None = None, counters: dict[str, int] | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
     """As canonical(), but remembering every set seen instead of testing for the parent."""
-    steps, seen = steps or Steps(), set()
+    steps, counters, seen = steps or Steps(), counters if counters is not None else {}, set()
+    terminals = duplicates = 0
     stack = [((1 << a) | (1 << b), w[a][b], 2, [(v, w[a][v] + w[b][v]) for v in bits(adj[a] & adj[b])]) for a, b in roots]
     while stack:
         c, s, k, cand = stack.pop()
         if c in seen:
+            duplicates += 1
             continue
         seen.add(c)
         steps()
@@ -183,7 +302,9 @@ def visited(adj: list[int], w: list[dict[int, int]], roots: list[tuple[int, int]
                 extends, wv = True, w[v]
                 stack.append((c | 1 << v, s + add, k + 1, [(x, g + wv[x]) for x, g in cand if x in wv]))
         if not extends:
+            terminals += 1
             yield tuple(bits(c)), s
+    count(counters, states=len(seen), duplicates=duplicates, terminals=terminals)
 
 
 def layer_bounds(w: list[list[int]]) -> tuple[list[int], list[int]]:
@@ -209,40 +330,68 @@ def layer_bounds(w: list[list[int]]) -> tuple[list[int], list[int]]:
     return top, member
 
 
-def host_subsets(w: list[list[int]], tau: int, steps: Steps | None = None, use: tuple[str, ...] = ("edges", "members", "local")) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Feasible subsets of a host (a clique with all pairs in w) that no larger feasible subset of it contains.
+def open_layers(w: list[list[int]], tau: int, use: tuple[str, ...] = ("edges", "members", "local")) -> list[int]:
+    """The sizes, falling, at which a host's subsets may be feasible by its bounds; ``use`` names those: edges, members."""
+    top, member = layer_bounds(w)
+    return [k for k in range(len(w), 1, -1) if not (("edges" in use and 2 * top[k] < tau * k * (k - 1)) or ("members" in use and member[k] < tau * k * (k - 1)))]
 
-    Sizes go down from the host; a size is passed over if its bounds rule it out, and subsets inside one already found
-    aren't looked at. ``use`` names the prunings: edges, members (bounds) and local (containment).
+
+def at_least(n: int, k: int, most: int) -> bool:
+    """Whether there are ``most`` or more combinations of k of n, without working out a number far beyond."""
+    total = 1
+    for i in range(1, min(k, n - k) + 1):
+        total = total * (n - i + 1) // i
+        if total >= most:
+            return True
+    return total >= most
+
+
+def subsets_of_size(w: list[list[int]], k: int, tau: int, larger: list[int], steps: Steps, first: int | None = None, use: tuple[str, ...] = ("frontier", "local"), counters: dict[str, int] | None = None) -> Iterator[tuple[int, int]]:
+    """(mask, sum) of a host's feasible subsets of k members, those that start at position ``first`` only if given.
+
+    With local in ``use`` none inside one of ``larger`` is looked at, and with frontier a branch ends where its remaining
+    members can't add enough. Subsets of one size don't contain each other, so parts by ``first`` are independent.
     """
-    steps, m, found = steps or Steps(), len(w), []
-    top, member = layer_bounds(w)
-    for k in range(m, 1, -1):
-        need = tau * k * (k - 1)
-        if ("edges" in use and 2 * top[k] < need) or ("members" in use and member[k] < need):
+    m, need, states, pruned = len(w), tau * k * (k - 1), 0, 0
+    best = [max((x for j, x in enumerate(r) if j != i), default=0) for i, r in enumerate(w)]
+    stack = [(1 << v, 1, 0, v + 1, w[v]) for v in ((first,) if first is not None else range(m - k, -1, -1))]
+    while stack:
+        mask, size, s, start, gain = stack.pop()
+        steps()
+        states += 1
+        left = k - size
+        if left == 0:
+            if 2 * s >= need and not ("local" in use and any(mask & ~f == 0 for f in larger)):
+                yield mask, s
+            continue
+        rest = range(start, m)
+        if "local" in use and any((mask | (1 << m) - (1 << start)) & ~f == 0 for f in larger):
+            pruned += 1
+            continue
+        if "frontier" in use and 2 * (s + sum(nlargest(left, (gain[v] for v in rest)))) + (left - 1) * sum(nlargest(left, best[start:])) < need:
+            pruned += 1
             continue
-        fresh = []
+        stack += [(mask | 1 << v, size + 1, s + gain[v], v + 1, [g + x for g, x in zip(gain, w[v], strict=True)]) for v in range(m - left, start - 1, -1)]
+    count(counters if counters is not None else {}, states=states, pruned=pruned)
 
-        def grow(c: tuple[int, ...], mask: int, s: int, start: int, k: int = k, fresh: list = fresh, need: int = need) -> None:
-            steps()
-            if len(c) == k:
-                if 2 * s >= need and not ("local" in use and any(mask & ~f == 0 for f, _ in found)):
-                    fresh.append((mask, s))
-                return
-            left = k - len(c)
-            for v in range(start, m - left + 1):
-                grow((*c, v), mask | 1 << v, s + sum(w[v][u] for u in c), v + 1)
-
-        grow((), 0, 0, 0)
-        found += fresh
+
+def host_subsets(w: list[list[int]], tau: int, steps: Steps | None = None, use: tuple[str, ...] = ("edges", "members", "local", "frontier"), counters: dict[str, int] | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Feasible subsets of a host (a clique with all pairs in w) that no larger feasible subset of it contains.
+
+    Sizes go down from the host; a size is passed over if its bounds rule it out, and subsets inside one already found
+    aren't looked at. ``use`` names the prunings: edges, members, frontier (bounds) and local (containment).
+    """
+    steps, found = steps or Steps(), []
+    for k in open_layers(w, tau, use):
+        found += list(subsets_of_size(w, k, tau, [f for f, _ in found], steps, None, use, counters))
     yield from ((tuple(bits(mask)), s) for mask, s in found)
 
 
-def solve_host(members: list[int], w: list[list[int]], tau: int, method: str = "subsets", direct: int = 7, budget: int = BUDGET, part: tuple[int, int] = (0, 1)) -> Iterator[tuple[tuple[int, ...], int]]:
+def solve_host(members: list[int], w: list[list[int]], tau: int, method: str = "subsets", direct: int = 7, budget: int = BUDGET, part: tuple[int, int] = (0, 1), counters: dict[str, int] | None = None) -> Iterator[tuple[tuple[int, ...], int]]:
     """Candidate sets of one host by position: the host itself if it is feasible, none without a pair that reaches tau.
 
     ``part`` (k, n) is the k-th of n shares of a canonical search: the pairs whose first position leaves k. A set is
-    reached from one pair only, so shares don't overlap and together are the whole.
+    reached from one pair only, so shares don't overlap and together are the whole; each has its part of the budget.
     """
     m = len(members)
     every = sum(w[i][j] for i, j in combinations(range(m), 2))
@@ -258,12 +407,12 @@ def solve_host(members: list[int], w: list[list[int]], tau: int, method: str = "
         yield from (((i, j), w[i][j]) for i, j in combinations(range(m), 2) if w[i][j] >= tau)
         return
     if method == "subsets" or m <= direct:
-        yield from host_subsets(w, tau, Steps(budget))
+        yield from host_subsets(w, tau, Steps(budget), counters=counters)
         return
     full = (1 << m) - 1
     adj = [full & ~(1 << i) for i in range(m)]
     rows = [{j: x for j, x in enumerate(r) if j != i} for i, r in enumerate(w)]
-    yield from canonical(adj, rows, members, [(i, j) for i, j in combinations(range(m), 2) if w[i][j] >= tau and i % part[1] == part[0]], tau, steps=Steps(budget))
+    yield from canonical(adj, rows, members, [(i, j) for i, j in combinations(range(m), 2) if w[i][j] >= tau and i % part[1] == part[0]], tau, counters, Steps(budget // part[1]))
 
 
 Kernel = Callable[..., Iterator[tuple[tuple[int, ...], int]]]

@@ -119,7 +119,7 @@ def search_counters(spark, sf_dir):
 def host_feasibility(spark, sf_dir):
     s = materialise(sims(spark, sf_dir, "band"))
     tau = S.tau_value(s, 80)
-    return family(C.structural(s)).withColumn("feasible", 2 * F.col("sum_q") >= F.lit(tau) * F.col("size") * (F.col("size") - 1))
+    return family(C.structural(s)).withColumn("feasible", 2 * F.col("sum_q") >= F.lit(tau).cast("long") * F.col("size") * (F.col("size") - 1))
 
 
 _PAIRS = "p AS (SELECT x.c, x.k, e.u, e.v, e.s FROM {} x, LATERAL (SELECT unnest(x.c) a) y, LATERAL (SELECT unnest(x.c) b) z JOIN e ON e.u = a AND e.v = b)"

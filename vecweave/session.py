@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import PySparkException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -38,3 +42,41 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, which outlives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+class OutOfTime(RuntimeError):
+    """A result wasn't whole within its time."""
+
+
+def within_time(spark: SparkSession, seconds: float, build: Callable[[], DataFrame]) -> DataFrame:
+    """The checkpointed result of ``build()``, or OutOfTime: never a part of it, nor a count of what was found so far.
+
+    All jobs started meanwhile carry a tag, by which a timer cancels them, on every executor, once the time is over. A job
+    that ends at that very moment doesn't count either, so the limit alone decides.
+    """
+    context, tag, over = spark.sparkContext, f"limit-{uuid.uuid4().hex}", threading.Event()
+    done = threading.Event()
+
+    def watch() -> None:
+        if done.wait(seconds):
+            return
+        over.set()
+        while not done.wait(0.5):  # jobs of a later step, too
+            context.cancelJobsWithTag(tag)
+
+    context.addJobTag(tag)
+    timer = threading.Thread(target=watch, daemon=True)
+    timer.start()
+    try:
+        result = materialise(build())
+    except (PySparkException, Py4JJavaError) as e:
+        if over.is_set():
+            raise OutOfTime(f"not whole within {seconds} seconds") from e
+        raise
+    finally:
+        done.set()
+        context.removeJobTag(tag)
+        timer.join()
+    if over.is_set():
+        raise OutOfTime(f"not whole within {seconds} seconds")
+    return result
