@@ -583,3 +583,23 @@ def test_top_k_repeats_and_clashing_names(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_mixing_without_ids(spark):
+    """Rows without an id, with one id, or repeated as a whole all have draws of their own, so the weights are met."""
+    rows = [(None, f"text {k}", "a") for k in range(3000)] + [(None, "the same", "a")] * 2000 + [(7, f"other {k}", "b") for k in range(2000)] + [(k, "t", "b") for k in range(1000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"a": 1.0, "b": 1.0}
+    got = mixing.replicate(d.repartition(4), weights=weights, total=8000.0)
+    n = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert all(abs(n[s] - 4000) < 3 * 4000**0.5 for s in "ab")
+    kept = got.where("text = 'the same'").groupBy("copy").count().collect()
+    first = next(r["count"] for r in kept if r["copy"] == 1)
+    assert abs(first - 2000 * (1 - np.exp(-0.8))) < 3 * (2000 * 0.55 * 0.45) ** 0.5  # a Poisson number of mean 0.8 each
+    assert got.select("mix_key").distinct().count() == got.count()
+    some = got.where("doc_id is null").select("text").distinct().count() - 1
+    assert abs(some - 3000 * (1 - np.exp(-0.8))) < 3 * (3000 * 0.55 * 0.45) ** 0.5
+    again = mixing.replicate(d.repartition(9), weights=weights, total=8000.0)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, again.collect()))
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert max(sizes) < 1.3 * sum(sizes) / len(sizes)

@@ -8,10 +8,10 @@ are dealt by key, so the order is a global shuffle that every run repeats.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, table
+from .common import materialise, small_side, table
 
 SEED, ALPHA, PIECE = 17, 0.5, 16.0
 
@@ -44,17 +44,38 @@ def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha
     return n.withColumn("cdf", F.expr(cdf)).select("source", "n", "rate", "pieces", "cdf")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(row, draw): whole rows in one column, so that no name of theirs meets one of ours, and what tells each from all
+    others: doc_id, text, and a number from 1 among the rows that agree in both.
+
+    Only rows that repeat are numbered: within their partition first, then by the counts of the partitions before, so one
+    task never needs all rows of a group, and the numbers of a group are the same however its rows are dealt.
+    """
+    text = F.coalesce("text", F.lit("")) if "text" in docs.columns else F.lit("")
+    held = docs.select(F.struct("*").alias("row"), F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(text)).alias("who"))
+    again = materialise(held.groupBy("who").count().where("count > 1").select("who"))
+    if not again.limit(1).count():
+        return held.select("row", F.concat("who", F.lit(":1")).alias("draw"))
+    twice = small_side(again)
+    some = materialise(held.join(twice, "who", "left_semi").withColumn("p", F.spark_partition_id()))
+    before = some.groupBy("who", "p").agg(F.count("*").alias("n"))  # a row for each partition that has some
+    before = before.select("who", "p", (F.sum("n").over(Window.partitionBy("who").orderBy("p")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("who", "p").orderBy(F.lit(1)))
+    some = some.withColumn("i", place).join(before, ["who", "p"]).select("row", F.concat_ws(":", "who", (F.col("before") + F.col("i")).cast("string")).alias("draw"))
+    once = held.join(twice, "who", "left_anti").select("row", F.concat("who", F.lit(":1")).alias("draw"))
+    return once.unionByName(some)
+
+
 def _copies(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """(row, copy, mix_key) in the order of mix_key; whole rows travel in one column, so that no name of theirs meets one of ours."""
+    """(row, copy, mix_key) in the order of mix_key."""
     spark = docs.sparkSession
     per = small_side(rates(docs, **options).select(F.col("source").alias("name"), "pieces", "cdf"))
-    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
-    held = held.join(per, F.expr("row.source <=> name"))
-    draw = f"transform(sequence(1, pieces), j -> cast(conv(substr(md5(concat_ws(':', '{seed}', id, cast(j as string))), 1, 13), 16, 10) as bigint) / 4503599627370496.0D)"
+    held = _numbered(docs).join(per, F.expr("row.source <=> name"))
+    draw = f"transform(sequence(1, pieces), j -> cast(conv(substr(md5(concat_ws(':', '{seed}', draw, cast(j as string))), 1, 13), 16, 10) as bigint) / 4503599627370496.0D)"
     held = held.withColumn("u", F.expr(draw))
     held = held.withColumn("copies", F.expr("aggregate(u, 0, (a, x) -> a + size(filter(cdf, c -> c <= x)))"))
-    copies = held.where("copies > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "id", F.col("copy").cast("string")))
+    copies = held.where("copies > 0").select("row", "draw", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    key = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), "draw", F.col("copy").cast("string")))
     copies = copies.select("row", "copy", F.substring(key, 1, 16).alias("mix_key"))
     # The key is uniform, so its leading digits deal the rows evenly and in order, without a sampling pass.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -65,8 +86,9 @@ def _copies(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
 def replicate(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The columns of ``docs`` with ``copy`` (from 1) and ``mix_key``, in the order of mix_key.
 
-    Rows with equal doc_id (null is a value too) get equal draws. Null sources are a source of their own; null, empty
-    and very long texts are copied like any other. A column of ``docs`` named copy or mix_key gives way to the new one;
+    Every row has a draw and a place of its own, also without a doc_id, or where rows share it or repeat as a whole, so
+    weights are met and copies spread in any case. Null sources are a source of their own; null, empty and very long texts
+    are copied like any other. A column of ``docs`` named copy or mix_key gives way to the new one;
     mixed() keeps it. An empty table gives an empty result.
     """
     own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("copy", "mix_key")]
@@ -91,9 +113,10 @@ r AS (SELECT source, sn * sqrt(n) / sw / n rate FROM n, s),
 p AS (SELECT source, rate, CAST(greatest(1, ceil(rate / {PIECE})) AS INTEGER) pieces FROM r),
 c AS (SELECT source, pieces, k, sum(pmf) OVER (PARTITION BY source ORDER BY k) cdf FROM (
   SELECT source, pieces, k, exp(-rate / pieces + k * ln(rate / pieces) - lgamma(k + 1)) pmf FROM p, range(0, {TERMS + 1}) t(k))),
-d AS (SELECT doc_id, source, unnest(range(1, pieces + 1)) j FROM documents JOIN p USING (source)),
-u AS (SELECT doc_id, source, CAST('0x' || substr(md5('{SEED}:' || doc_id || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0 u FROM d),
-m AS (SELECT doc_id, count(*) copies FROM u JOIN c USING (source) WHERE c.cdf <= u.u GROUP BY doc_id)
-SELECT doc_id, CAST(copy AS INTEGER) AS copy, substr(md5('{SEED}:order:' || doc_id || ':' || copy), 1, 16) AS mix_key, source, n_chars, text
-FROM (SELECT doc_id, unnest(range(1, copies + 1)) copy FROM m) JOIN documents USING (doc_id)
+i AS MATERIALIZED (SELECT *, doc_id || ':' || md5(coalesce(text, '')) || ':' || row_number() OVER (PARTITION BY doc_id, text) AS draw FROM documents),
+d AS (SELECT draw, source, unnest(range(1, pieces + 1)) j FROM i JOIN p USING (source)),
+u AS (SELECT draw, source, CAST('0x' || substr(md5('{SEED}:' || draw || ':' || j), 1, 13) AS BIGINT) / 4503599627370496.0 u FROM d),
+m AS (SELECT draw, count(*) copies FROM u JOIN c USING (source) WHERE c.cdf <= u.u GROUP BY draw)
+SELECT doc_id, CAST(copy AS INTEGER) AS copy, substr(md5('{SEED}:order:' || draw || ':' || copy), 1, 16) AS mix_key, source, n_chars, text
+FROM (SELECT draw, unnest(range(1, copies + 1)) copy FROM m) JOIN i USING (draw)
 """
