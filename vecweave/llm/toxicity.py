@@ -183,12 +183,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """The model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; None without a toxic and another row.
 
-    Rows without a label or an id aren't fitted on; of rows with equal text one is. Counts of words are made where the
+    Rows without a label or an id aren't fitted on; of rows with equal text one is, toxic if
+    any of them is so labelled. Counts of words are made where the
     rows are; what reaches the driver is the lexicon, and FEATURES of at most ``rows`` rows.
     """
     some = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    held = docs.join(F.broadcast(some), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text"])
+    held = docs.join(F.broadcast(some), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text")).groupBy("text").agg(F.max("toxic").alias("toxic"))
     held = materialise(held.withColumn("half", F.pmod(F.xxhash64("text", F.lit("half")), F.lit(2)).cast("int")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
