@@ -132,9 +132,10 @@ def cores(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
         loose = materialise(adj.join(moved, "nbr", "left_semi").select("id").distinct())
 
 
-def audit(raw: DataFrame, vertices: DataFrame) -> DataFrame:
-    """One row: rows, loops, duplicates, edges, degrees, wedges, triangles, transitivity."""
-    edges = canonical(raw)
+def audit(raw: DataFrame, vertices: DataFrame, order: bool = False, in_task: int = IN_TASK) -> DataFrame:
+    """One row: rows, loops, duplicates, edges, degrees, wedges, triangles, transitivity; with ``order`` the degeneracy and
+    the largest forward degree too."""
+    edges = materialise(canonical(raw))
     rows = raw.agg(F.count("*").alias("input_rows"), F.coalesce(F.sum((F.col("u") == F.col("v")).cast("long")), F.lit(0)).alias("self_loops"))
     n = vertices.agg(F.countDistinct("id").alias("vertices"))
     d = degrees(edges).agg(
@@ -142,20 +143,50 @@ def audit(raw: DataFrame, vertices: DataFrame) -> DataFrame:
     )
     t = common_out(edges).agg(F.coalesce(F.sum(F.size("cs")), F.lit(0)).alias("triangles"))
     one = rows.join(F.broadcast(n)).join(F.broadcast(d)).join(F.broadcast(t))  # one row each
+    more = ["degeneracy", "max_forward_degree"] if order else []
+    if order:
+        one = one.join(F.broadcast(forward_degree(edges, in_task)))
     return one.select(
         "vertices", "input_rows", "self_loops", (F.col("input_rows") - F.col("self_loops") - F.col("edges")).alias("duplicate_edges"), "edges",
         F.when(F.col("vertices") > 0, F.round(2.0 * F.col("edges") / F.col("vertices"), 6)).otherwise(0.0).alias("average_degree"), "max_degree", "wedges", "triangles",
-        F.when(F.col("wedges") > 0, F.round(3.0 * F.col("triangles") / F.col("wedges"), 6)).otherwise(0.0).alias("transitivity"),
+        F.when(F.col("wedges") > 0, F.round(3.0 * F.col("triangles") / F.col("wedges"), 6)).otherwise(0.0).alias("transitivity"), *more,
     )
 
 
-def forward_degree(edges: DataFrame) -> DataFrame:
-    """(degeneracy, max_forward_degree) with vertices ordered by (core, degree, id)."""
-    c = cores(edges).join(degrees(edges), "id").select("id", F.struct("core", "degree", "id").alias("k"))
-    e = edges.join(c.select(F.col("id").alias("u"), F.col("k").alias("ku")), "u").join(c.select(F.col("id").alias("v"), F.col("k").alias("kv")), "v")
-    out = e.groupBy(F.when(F.col("ku") < F.col("kv"), F.col("u")).otherwise(F.col("v")).alias("id")).agg(F.count("*").alias("n"))
-    top = c.agg(F.coalesce(F.max("k.core"), F.lit(0)).alias("degeneracy"))
-    return top.join(F.broadcast(out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_forward_degree"))))
+def degeneracy_order(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(id, core, layer, position): an order in which no vertex has more than its core number of neighbours after it.
+
+    Core numbers come first. Then all shells, the vertices of one core number, are peeled at the same time: those with no
+    more neighbours left than their core number, in the shell or in higher ones, are the next layer. Positions go by core,
+    layer and id, from ranges. Rounds are checkpoints, as many as the deepest shell has layers; only edges inside a shell
+    are looked at.
+    """
+    core = materialise(cores(edges, in_task))
+    nbrs = both_ways(edges).join(core.withColumnRenamed("core", "c"), "id").join(core.select(F.col("id").alias("nbr"), F.col("core").alias("theirs")), "nbr")
+    left = nbrs.where("theirs >= c").groupBy("id").agg(F.count("*").alias("left"))
+    now = materialise(core.join(left, "id").select("id", "core", "left"))
+    inside, done, layer = materialise(nbrs.where("theirs = c").select("id", "nbr")), None, 0
+    while True:
+        first = F.col("left") <= F.col("core")
+        peel = now.where(first).select("id", "core", F.lit(layer).alias("layer"))
+        done = peel if done is None else done.unionByName(peel)
+        stay = now.where(~first)
+        lost = inside.join(peel.select(F.col("id").alias("nbr")), "nbr", "left_semi").groupBy("id").agg(F.count("*").alias("n"))
+        now = materialise(stay.join(lost, "id", "left").select("id", "core", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left")))
+        layer += 1
+        if not now.limit(1).count():
+            order = [F.col("core"), F.col("layer"), F.col("id")]
+            return placed(done, order).select("id", "core", "layer", F.col("place").alias("position"))
+
+
+def forward_degree(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(degeneracy, max_forward_degree): the largest core number, and the most neighbours that come after a vertex in
+    degeneracy_order(); they are equal."""
+    order = materialise(degeneracy_order(edges, in_task))
+    e = edges.join(order.select(F.col("id").alias("u"), F.col("position").alias("pu")), "u").join(order.select(F.col("id").alias("v"), F.col("position").alias("pv")), "v")
+    out = e.groupBy(F.when(F.col("pu") < F.col("pv"), F.col("u")).otherwise(F.col("v")).alias("id")).agg(F.count("*").alias("n"))
+    top = order.agg(F.coalesce(F.max("core"), F.lit(0)).alias("degeneracy"))
+    return top.join(F.broadcast(out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_forward_degree"))))  # one row each
 
 
 def placed(rows: DataFrame, order: list) -> DataFrame:
@@ -197,7 +228,8 @@ def degree_ranks(edges: DataFrame, vertices: DataFrame, n: int | None = None) ->
     d = degrees(edges, vertices)
     order = [F.desc("degree"), F.asc("id")]
     if n is not None:
-        return d.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        first = d.orderBy(*order).limit(n)
+        return placed(first, order).select("id", "degree", (F.col("place") + 1).cast("int").alias("rank"))
     return placed(d, order).select("id", "degree", (F.col("place") + 1).cast("int").alias("rank"))
 
 

@@ -61,10 +61,10 @@ def tau_summary(sims: DataFrame, column: str = "sim") -> DataFrame:
     return rest.join(F.broadcast(mid)).select("edges", *(F.round(c, 6).alias(c) for c in ("min", "max", "mean", "median")))
 
 
-def tau_value(sims: DataFrame, percentile: int, column: str = "sim_q") -> int | None:
+def tau_value(sims: DataFrame, percentile: float, column: str = "sim_q") -> int | None:
     """The threshold as a number for the driver, to plan with."""
-    row = tau_quantiles(sims, (percentile,), column).first()
-    return None if row is None else row.tau
+    row = ranked(sims, column, {"tau": f"floor({percentile} * (n - 1) / 100.0)"}).first()
+    return None if row is None else row.value
 
 
 def pairsim(sims: DataFrame, tau_q: int) -> DataFrame:

@@ -36,8 +36,14 @@ def band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(vertices(spark, sf_dir), BAND, True)
 
 
+def thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of ids that leave the same remainder by three: three hosts of a third of the vertices each."""
+    rows = vertices(spark, sf_dir).groupBy((F.col("id") % 3).alias("k")).agg(F.array_sort(F.collect_list("id")).alias("items"))
+    return pairs_within(rows, "items").select("u", "v")
+
+
 def sims(spark: SparkSession, sf_dir: str, graph: str = "ring") -> DataFrame:
-    edges = {"ring": ring, "band": band}[graph](spark, sf_dir)
+    edges = {"ring": ring, "band": band, "thirds": thirds}[graph](spark, sf_dir)
     return sim_edges(edges, vertices(spark, sf_dir)).select("u", "v", "sim", "sim_q")
 
 
@@ -51,6 +57,7 @@ def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 E0 = {
     "ring": f"SELECT a.vec_id u, b.vec_id v FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= {RING}",
     "band": f"SELECT a.vec_id u, b.vec_id v FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id - a.vec_id <= {BAND} AND a.label = b.label",
+    "thirds": "SELECT a.vec_id u, b.vec_id v FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND a.vec_id % 3 = b.vec_id % 3",
 }
 RAW_PARTS = (
     "SELECT a.l_partkey u, b.l_partkey v FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) r FROM lineitem) a "
@@ -59,7 +66,7 @@ RAW_PARTS = (
 PARTS = "SELECT DISTINCT least(a.l_partkey, b.l_partkey) u, greatest(a.l_partkey, b.l_partkey) v FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey"
 
 
-def ctes(graph: str, q: int | None = None) -> str:
+def ctes(graph: str, q: float | None = None) -> str:
     """SQL: e (edges with s), tau, st (all cliques), f (feasible), msc, mce; families have c (list), s, k."""
     tau = q if q is not None else 80
     return f"""WITH RECURSIVE e0 AS MATERIALIZED ({E0[graph]}),

@@ -47,7 +47,7 @@ def grouped(df: DataFrame) -> DataFrame:
     return df.select(F.array_join("clique", ",").alias("gid"), F.col("clique").alias("members"), "size", "sum_q")
 
 
-def family_of(spark: SparkSession, sf_dir: str, graph: str = "ring", q: int = 80, algorithm: str = "canonical") -> tuple[DataFrame, DataFrame, int]:
+def family_of(spark: SparkSession, sf_dir: str, graph: str = "ring", q: float = 80, algorithm: str = "canonical") -> tuple[DataFrame, DataFrame, int]:
     """(result family, sims, tau_q)"""
     s = materialise(sims(spark, sf_dir, graph))
     tau = S.tau_value(s, q)
@@ -68,12 +68,12 @@ def _msc(graph: str, q: int, algorithm: str) -> None:
 _msc("band", 80, "canonical")
 for _a in C.ALGORITHMS:
     _msc("ring", 80, _a)
-for _a in ("strsub", "sem_bk", "host_canonical", "visited", "layered", "auto"):
+for _a in ("strsub", "sem_bk", "host_canonical", "visited", "owned", "shared_hosts", "layered", "auto"):
     _msc("band", 80, _a)
-for _a in ("canonical", "strsub", "auto"):
+for _a in ("canonical", "strsub", "shared_hosts", "auto"):
     _msc("ring", 99, _a)
     _msc("band", 99, _a)
-for _a in ("strsub", "sem_bk", "auto"):
+for _a in ("strsub", "sem_bk", "shared_hosts", "auto"):
     _msc("ring", 20, _a)
 
 
@@ -109,10 +109,26 @@ def terminals(spark, sf_dir):
     return family(C.layers(s, S.tau_value(s, 80), owned=True).where("terminal"))
 
 
-@query("search_counters", ctes("ring", 80) + ", n2 AS MATERIALIZED (SELECT u, v, s FROM e UNION ALL SELECT v, u, s FROM e), x AS MATERIALIZED (SELECT f.c, f.k, f.s, n2.v, CAST(sum(n2.s) AS BIGINT) d FROM f, LATERAL (SELECT unnest(f.c) m) y JOIN n2 ON n2.u = y.m GROUP BY ALL HAVING count(*) = f.k) SELECT (SELECT count(*) FROM f) AS states, (SELECT count(*) FROM x) AS tests, (SELECT count(*) FROM x, tau WHERE 2 * (s + d) >= t * (k + 1) * k) - (SELECT count(*) FROM f WHERE k > 2) AS rejects, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.v = f.c[1] AND m.k = f.k + 1 AND list_has_all(m.c, f.c))) AS terminals")
+_EXTENSIONS = ", n2 AS MATERIALIZED (SELECT u, v, s FROM e UNION ALL SELECT v, u, s FROM e), x AS MATERIALIZED (SELECT f.c, f.k, f.s, n2.v, CAST(sum(n2.s) AS BIGINT) d FROM f, LATERAL (SELECT unnest(f.c) m) y JOIN n2 ON n2.u = y.m GROUP BY ALL HAVING count(*) = f.k) "
+
+
+@query("search_counters", ctes("ring", 80) + _EXTENSIONS + "SELECT (SELECT count(*) FROM f) AS states, (SELECT count(*) FROM x) AS tests, (SELECT count(*) FROM x, tau WHERE 2 * (s + d) >= t * (k + 1) * k AND d * (k - 1) <= 2 * s) AS looked, (SELECT count(*) FROM x, tau WHERE 2 * (s + d) >= t * (k + 1) * k) - (SELECT count(*) FROM f WHERE k > 2) AS rejects, (SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.v = f.c[1] AND m.k = f.k + 1 AND list_has_all(m.c, f.c))) AS terminals")
 def search_counters(spark, sf_dir):
     s = materialise(sims(spark, sf_dir))
-    return C.search_counters(s, S.tau_value(s, 80))
+    return C.search_counters(s, S.tau_value(s, 80)).select("states", "tests", "looked", "rejects", "terminals")
+
+
+@query(
+    "search_counters_shared_hosts",
+    ctes("band", 80) + """, bad AS MATERIALIZED (SELECT c, unnest(c) v FROM mce, tau WHERE 2 * s < t * k * (k - 1)),
+i AS MATERIALIZED (SELECT f.c, f.k FROM f WHERE EXISTS (SELECT 1 FROM bad WHERE bad.v = f.c[1] AND list_has_all(bad.c, f.c)))
+SELECT (SELECT count(*) FROM i) AS states, (SELECT count(*) FROM f) AS states_of_all, (SELECT count(*) FROM i WHERE NOT EXISTS (SELECT 1 FROM i j WHERE j.k = i.k + 1 AND list_has_all(j.c, i.c))) AS terminals""",
+)
+def search_counters_shared_hosts(spark, sf_dir):
+    s = materialise(sims(spark, sf_dir, "band"))
+    tau = S.tau_value(s, 80)
+    every = C.search_counters(s, tau).select(F.col("states").alias("states_of_all"))
+    return C.search_counters(s, tau, "shared_hosts").select("states", "terminals").join(F.broadcast(every)).select("states", "states_of_all", "terminals")  # one row each
 
 
 @query("host_feasibility", ctes("band", 80) + "SELECT array_to_string(c, ',') AS clique, CAST(k AS BIGINT) AS size, CAST(s AS BIGINT) AS sum_q, 2 * s >= t * k * (k - 1) AS feasible FROM mce, tau")
@@ -253,14 +269,57 @@ def graph_audit(spark, sf_dir):
     return G.audit(materialise(order_pairs(spark, sf_dir)), part_ids(spark, sf_dir))
 
 
-@query("core_numbers")
+#: Core numbers by lowering each vertex's bound to the largest h such that h neighbours hold h, until nothing changes; then
+#: the layers of each shell, peeled at once.
+_CORES = """b AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+hi(r, id, c) AS (SELECT 0, u, count(*) FROM b GROUP BY u UNION ALL
+  SELECT r + 1, id, n FROM (SELECT r, id, c, n, bool_or(n < c) OVER () go FROM (
+    SELECT any_value(r) r, id, any_value(c) c, least(any_value(c), max(least(t, k))) n FROM (
+      SELECT m.r, m.id, m.c, o.c t, row_number() OVER (PARTITION BY m.id ORDER BY o.c DESC) k FROM hi m JOIN b ON b.u = m.id JOIN hi o ON o.id = b.v) GROUP BY id)) WHERE go),
+core AS MATERIALIZED (SELECT id, c FROM hi WHERE r = (SELECT max(r) FROM hi)),
+sh AS MATERIALIZED (SELECT b.u, b.v, x.c c, y.c t FROM b JOIN core x ON x.id = b.u JOIN core y ON y.id = b.v),
+ly(l, id, c, d) AS (SELECT 0, u, c, count(*) FILTER (t >= c) FROM sh GROUP BY u, c UNION ALL
+  SELECT l + 1, id, c, d - coalesce(n, 0) FROM (SELECT * FROM ly WHERE d > c) s LEFT JOIN (
+    SELECT sh.u, count(*) n FROM ly g JOIN sh ON sh.v = g.id AND sh.t = sh.c WHERE g.d <= g.c GROUP BY sh.u) z ON z.u = s.id),
+od AS MATERIALIZED (SELECT id, c, max(l) l, row_number() OVER (ORDER BY c, max(l), id) - 1 p FROM ly GROUP BY id, c)"""
+_FORWARD = "(SELECT max(n) FROM (SELECT count(*) n FROM e JOIN od x ON x.id = u JOIN od y ON y.id = v GROUP BY CASE WHEN x.p < y.p THEN u ELSE v END))"
+
+
+_STOCK = "SELECT DISTINCT least(l_suppkey, l_partkey) AS u, greatest(l_suppkey, l_partkey) AS v FROM lineitem WHERE l_suppkey <> l_partkey"
+
+
+def stock(spark, sf_dir) -> DataFrame:
+    return materialise(canonical_edges(spark, sf_dir))
+
+
+@query("core_numbers", f"WITH RECURSIVE e AS MATERIALIZED ({_STOCK}), {_CORES} SELECT id, c AS core FROM core")
 def core_numbers(spark, sf_dir):
-    return G.cores(parts(spark, sf_dir))
+    return G.cores(stock(spark, sf_dir), in_task=0)
+
+
+@query("core_numbers_in_task", f"WITH RECURSIVE e AS MATERIALIZED ({E0['band']}), {_CORES} SELECT id, c AS core FROM core")
+def core_numbers_in_task(spark, sf_dir):
+    return G.cores(materialise(band(spark, sf_dir)))
+
 
+@query("degeneracy_order", f"WITH RECURSIVE e AS MATERIALIZED ({_STOCK}), {_CORES} SELECT id, c AS core, CAST(l AS BIGINT) AS layer, p AS position FROM od")
+def degeneracy_order(spark, sf_dir):
+    return G.degeneracy_order(stock(spark, sf_dir), in_task=0)
 
-@query("forward_degree")
+
+@query("forward_degree", f"WITH RECURSIVE e AS MATERIALIZED ({_STOCK}), {_CORES} SELECT (SELECT max(c) FROM core) AS degeneracy, {_FORWARD} AS max_forward_degree")
 def forward_degree(spark, sf_dir):
-    return G.forward_degree(materialise(band(spark, sf_dir)))
+    return G.forward_degree(stock(spark, sf_dir), in_task=0)
+
+
+@query(
+    "graph_audit_order",
+    f"""WITH RECURSIVE e AS MATERIALIZED ({_STOCK}), {_CORES}
+SELECT (SELECT count(*) FROM part) AS vertices, (SELECT count(*) FROM e) AS edges, (SELECT max(c) FROM core) AS degeneracy, {_FORWARD} AS max_forward_degree""",
+)
+def graph_audit_order(spark, sf_dir):
+    raw = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("u"), F.col("l_partkey").alias("v"))
+    return G.audit(raw, part_ids(spark, sf_dir), order=True).select("vertices", "edges", "degeneracy", "max_forward_degree")
 
 
 @query("compact_ids", f"WITH e AS ({PARTS}), m AS (SELECT i orig_id, row_number() OVER (ORDER BY i) - 1 id FROM (SELECT u i FROM e UNION SELECT v FROM e)) SELECT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v FROM e JOIN m a ON a.orig_id = u JOIN m b ON b.orig_id = v")
@@ -531,7 +590,7 @@ def text_vectors_query(spark, sf_dir):
 _PART_VECTORS = f"pv AS MATERIALIZED (SELECT p_partkey vec_id, list_transform(range(0, 32), lambda j: {_UNIT.format("'42:' || p_partkey || ':' || j")} * 2 - 1) raw FROM part), pn AS MATERIALIZED (SELECT vec_id, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) embedding FROM pv),"
 
 
-def _part_ctes(q: int) -> str:
+def _part_ctes(q: float) -> str:
     return ctes("ring", q).replace(E0["ring"], PARTS).replace("JOIN embeddings", "JOIN pn").replace("WITH RECURSIVE ", "WITH RECURSIVE " + _PART_VECTORS)
 
 
@@ -540,17 +599,52 @@ def part_sims(spark, sf_dir) -> DataFrame:
     return materialise(S.sim_edges(parts(spark, sf_dir), v, unit=False).select("u", "v", "sim_q"))
 
 
-@query("msc_auto_parts_q80", _part_ctes(80) + FAMILY.format("msc"))
-def msc_auto_parts(spark, sf_dir):
-    s = part_sims(spark, sf_dir)
-    return family(C.msc(s, S.tau_value(s, 80)))
+def _parts_msc(algorithm: str) -> None:
+    @query(f"msc_{algorithm}_parts_q80", _part_ctes(80) + FAMILY.format("msc"))
+    def run(spark, sf_dir):
+        s = part_sims(spark, sf_dir)
+        return family(C.msc(s, S.tau_value(s, 80), algorithm))
+
+
+for _a in ("auto", "shared_hosts", "owned"):
+    _parts_msc(_a)
 
+#: Maximal cliques grown from their first vertex, with the common neighbours of all members carried along.
+_GROWN = """, nb AS MATERIALIZED (SELECT u id, list(v ORDER BY v) l FROM b GROUP BY u),
+gr(c, n) AS (SELECT [id], l FROM nb UNION ALL SELECT list_append(y.c, y.v), list_intersect(y.n, nb.l) FROM (SELECT c, n, unnest(n) v FROM gr) y JOIN nb ON nb.id = y.v WHERE y.v > y.c[-1]),
+gm AS MATERIALIZED (SELECT c FROM gr WHERE len(n) = 0),
+gs AS (SELECT c, sum(e.s) s FROM (SELECT c, i, j FROM (SELECT c, unnest(c) i FROM gm) JOIN (SELECT c, unnest(c) j FROM gm) USING (c) WHERE i < j) JOIN e ON e.u = i AND e.v = j GROUP BY c)
+SELECT array_to_string(c, ',') AS clique, CAST(len(c) AS BIGINT) AS size, CAST(s AS BIGINT) AS sum_q FROM gs"""
 
-@query("mce_parts", _part_ctes(80) + FAMILY.format("mce"))
+
+@query("mce_parts", _part_ctes(80) + _GROWN)
 def mce_parts(spark, sf_dir):
     return family(C.structural(part_sims(spark, sf_dir)))
 
 
+# Hosts of a third of all vertices: 167 members at a scale of a hundredth.
+
+#: Feasible sets grown by one member at a time: removing the member of least links leaves a feasible set.
+_FEASIBLE = """, fe(c, s, k) AS (SELECT [u, v], s, 2 FROM e, tau WHERE s >= t UNION
+  SELECT list_sort(list_append(c, v)), CAST(s + d AS BIGINT), k + 1 FROM (
+    SELECT fe.c, fe.s, fe.k, b2.v, sum(b2.s) d FROM fe, LATERAL (SELECT unnest(fe.c) m) y JOIN b2 ON b2.u = y.m WHERE NOT list_contains(fe.c, b2.v) GROUP BY ALL HAVING count(*) = fe.k) z, tau
+  WHERE 2 * (s + d) >= t * (k + 1) * k),
+fm AS MATERIALIZED (SELECT c, k, unnest(c) v FROM fe),
+fx AS (SELECT c, s, k FROM fe WHERE NOT EXISTS (SELECT 1 FROM fm WHERE fm.v = fe.c[1] AND fm.k > fe.k AND list_has_all(fm.c, fe.c)))
+SELECT array_to_string(c, ',') AS clique, CAST(k AS BIGINT) AS size, CAST(s AS BIGINT) AS sum_q FROM fx"""
+_THIRDS_SQL = ctes("thirds", 99.9) + ", b2 AS MATERIALIZED (SELECT u, v, s FROM e UNION ALL SELECT v, u, s FROM e)" + _FEASIBLE
+
+
+def _thirds_msc(algorithm: str) -> None:
+    @query(f"msc_{algorithm}_thirds_q999", _THIRDS_SQL)
+    def run(spark, sf_dir):
+        return family(family_of(spark, sf_dir, "thirds", 99.9, algorithm)[0])
+
+
+for _a in ("strsub", "host_canonical", "shared_hosts"):
+    _thirds_msc(_a)
+
+
 @query("nested_graphs", f"WITH {_DEGREES}, x AS (SELECT size, id, row_number() OVER (PARTITION BY size ORDER BY id) - 1 new FROM rk, (SELECT unnest([50, 200, 800]) size) WHERE rank <= size) SELECT CAST(size AS BIGINT) AS size, new AS id, id AS orig_id, round({_UNIT.format("'42:' || id || ':0'")} * 2 - 1, 6) AS first FROM x")
 def nested_graphs(spark, sf_dir):
     e = materialise(parts(spark, sf_dir))
@@ -637,7 +731,7 @@ def graph_file(spark, sf_dir):
 @query("edge_list_file", PARTS)
 def edge_list_file(spark, sf_dir):
     path, e = shared_path(spark, "edges"), materialise(parts(spark, sf_dir))
-    e.select(F.concat_ws("\t", "v", "u").alias("value")).unionByName(e.limit(0).select(F.lit("# ends").alias("value"))).write.option("compression", "gzip").text(path)
+    e.select(F.concat_ws("\t", "v", "u").alias("value")).unionByName(spark.range(1).select(F.lit("# ends").alias("value"))).write.option("compression", "gzip").text(path)
     return T.read_edges(spark, path)
 
 
