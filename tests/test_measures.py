@@ -78,3 +78,24 @@ def test_runs(spark):
     s = R.status_of(F.col("code"), F.col("late"), F.col("parsed"), F.col("same"))
     t = spark.createDataFrame([(0, False, True, True), (3, False, True, True), (1, False, True, True), (0, True, True, True), (0, False, False, True), (0, False, True, False)], "code int, late boolean, parsed boolean, same boolean")
     assert [r[0] for r in t.select(s).collect()] == ["completed", "oom", "crash", "tle", "parse_error", "mismatch"]
+
+
+def test_runs_that_differ_raise(spark):
+    from vecweave.operators import runs as R
+
+    rows = [("a", "completed", 1.0, 0.5, 7, "x"), ("a", "completed", 3.0, 0.7, 7, "x"), ("b", "completed", 2.0, 0.1, 8, "x"), ("b", "tle", 9.0, 0.1, 1, "y")]
+    d = spark.createDataFrame(rows, "config string, status string, seconds double, peak_gib double, results long, histogram string")
+    assert {r.config: (r.reps, r.median_s, r.results) for r in R.summary(d, ["config"]).collect()} == {"a": (2, 2.0, 7), "b": (1, 2.0, 8)}
+    for more in (("b", "completed", 2.0, 0.1, 9, "x"), ("b", "completed", 2.0, 0.1, 8, "z")):
+        both = d.unionByName(spark.createDataFrame([more], d.schema))
+        with pytest.raises(Exception, match="differ in their results"):
+            R.summary(both, ["config"]).collect()
+        assert R.summary(both, ["config"], strict=False).count() == 2
+
+
+def test_grid_of_settings_in_a_table(spark):
+    from vecweave.operators import runs as R
+
+    t = spark.createDataFrame([("x", 1), ("y", 1), ("x", None)], "a string, b int")
+    got = R.task_grid(spark, a=t.select("a"), b=t.select("b"), tau=[0.5, 0.9])
+    assert sorted(map(tuple, got.collect())) == [("x", 1, 0.5), ("x", 1, 0.9), ("y", 1, 0.5), ("y", 1, 0.9)]

@@ -96,3 +96,16 @@ def test_split_hosts_give_the_same_sets(spark):
     hosts = C.structural(sims)
     family = lambda split: sorted(map(tuple, C.maximal_only(C.from_hosts(hosts, sims, 600_000, "canonical", split=split)).collect()))
     assert family(8) == family(1000) == sorted(map(tuple, C.msc(sims, 600_000, "canonical").collect())) != []
+
+
+@pytest.mark.parametrize("in_task", [10_000, 0])
+def test_an_order_with_few_neighbours_ahead(spark, in_task):
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(150)} | {(100 + k, 101 + k) for k in range(7)} | {(100, 3)}
+    e, cores = edges_of(spark, pairs), plain_cores(pairs)
+    order = sorted(G.degeneracy_order(e, in_task).collect(), key=lambda r: r.position)
+    assert [r.position for r in order] == list(range(len(cores))) and {r.id: r.core for r in order} == cores
+    place = {r.id: r.position for r in order}
+    ahead = {v: sum(place[a if b == v else b] > place[v] for a, b in pairs if v in (a, b)) for v in place}
+    assert all(ahead[v] <= cores[v] for v in place)
+    assert tuple(G.forward_degree(e, in_task).first()) == (max(cores.values()), max(ahead.values()))

@@ -104,3 +104,35 @@ def test_records(spark, tmp_path):
         c["9"]
     records.write_csv(spark.createDataFrame([(1, 1 / 3)], "a long, b double"), str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first().b == "0.333333"
+
+
+def test_csr_in_ranges(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 3), (1, 3), (0, 1), (3, 6), (5, 6)], "u long, v long")
+    p = str(tmp_path / "c" / "g.bin")
+    text.write_csr(spark.range(8), edges, p)
+    for rows in (1, 3, 100):
+        v, e = text.read_csr(spark, p, rows)
+        assert v.count() == 8 and sorted(map(tuple, e.collect())) == [(0, 1), (0, 3), (1, 3), (3, 6), (5, 6)]
+    text.write_csr(spark.range(0), edges.limit(0), p + "0")
+    assert [x.count() for x in text.read_csr(spark, p + "0")] == [0, 0]
+    (tmp_path / "bad.bin").write_bytes(struct.pack("<7I", 4, 2, 2, 1, 1, 9, 0))
+    with pytest.raises(Exception, match="aren't those of a graph"):
+        text.read_csr(spark, str(tmp_path / "bad.bin"))[1].collect()
+    (tmp_path / "cut.bin").write_bytes(struct.pack("<6I", 4, 2, 2, 1, 1, 1))
+    with pytest.raises(ValueError, match="don't hold"):
+        text.read_csr(spark, str(tmp_path / "cut.bin"))
+
+
+def test_archives(spark, tmp_path):
+    rows = [(f"d/{k}.csv" + (".gz" if k % 2 else ""), f"line {k}\n" * k) for k in range(6)]
+    text.write_zip(spark.createDataFrame(rows, "name string, text string").repartition(3), str(tmp_path / "z"))
+    got = [tuple(r) for s in (".csv", ".gz") for r in text.read_zip(spark, str(tmp_path / "z"), s).collect()]
+    assert sorted(got) == sorted(rows)
+
+
+def test_dense_vectors(spark):
+    from vecweave.functions.vectors import one_hot
+
+    rows = [([3, 0, 3],), ([],), (None,), ([4],), ([9, -1, 2],)]
+    got = [r.x for r in spark.createDataFrame(rows, "k array<int>").select(one_hot(F.col("k"), 5).alias("x")).collect()]
+    assert got == [[1, 0, 0, 1, 0], [0] * 5, [0] * 5, [0, 0, 0, 0, 1], [0, 0, 1, 0, 0]]

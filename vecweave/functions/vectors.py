@@ -43,5 +43,9 @@ def units(similarity: Column) -> Column:
 
 
 def one_hot(indices: Column, dim: int) -> Column:
-    """A dense 0/1 vector from a list of positions."""
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.array_contains(indices, i).cast("double"))
+    """A dense 0/1 vector from a list of positions, written gap by gap; positions outside 0 .. dim - 1 are left out."""
+    at = F.array_sort(F.array_distinct(F.filter(F.coalesce(indices, F.array().cast("array<int>")), lambda i: (i >= 0) & (i < dim))))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    # After each position the zeros up to the next one, or to the end.
+    tail = F.transform(at, lambda x, i: F.concat(F.array(F.lit(1.0)), zeros(F.coalesce(F.get(at, i + 1), F.lit(dim)) - x - 1)))
+    return F.concat(zeros(F.coalesce(F.get(at, F.lit(0)), F.lit(dim))), F.flatten(tail))

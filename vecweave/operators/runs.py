@@ -100,9 +100,14 @@ def expand_plan(tasks: DataFrame) -> DataFrame:
     return each.withColumn("task_id", F.sha2(F.to_json(F.struct(*sorted(each.columns))), 256))
 
 
-def task_grid(spark: SparkSession, **axes: list) -> DataFrame:
-    """All combinations of lists of settings, one column for each axis."""
+def task_grid(spark: SparkSession, **axes: list | DataFrame) -> DataFrame:
+    """All combinations of settings, one column for each axis: a list, or a DataFrame of one column whose different values
+    it is. An axis is one row's array, so it should have few values, as settings do; null isn't one of them."""
     out = spark.range(1)
     for name, values in axes.items():
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+        if isinstance(values, DataFrame):
+            held = values.agg(F.array_sort(F.collect_set(values.columns[0])).alias("_axis"))  # one row
+            out = out.join(F.broadcast(held)).withColumn(name, F.explode("_axis")).drop("_axis")
+        else:
+            out = out.withColumn(name, F.explode(F.array(*map(F.lit, values))))
     return out.drop("id")

@@ -15,9 +15,8 @@ from ..operators import graph as G
 from ..operators import quality as Q
 from ..operators import runs as R
 from ..operators import similarity as S
-from ..session import materialise, shared_path
-from ..sources import text as T
-from ..sources.vectors import random_vectors, read_vector_text, read_vectors, text_vectors, write_vectors
+from ..session import materialise
+from ..sources.vectors import random_vectors, text_vectors
 from .graphs import E0, FAMILY, PARTS, RAW_PARTS, band, ctes, order_pairs, ring, sims, table, vertices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -692,9 +691,10 @@ def previous_results(spark, sf_dir):
     return R.previous_equal(runs(spark, sf_dir).withColumn("results", F.floor(F.col("seconds") / 100000)), ["task"], "config")
 
 
-@query("task_grid", "SELECT a AS algorithm, CAST(t AS BIGINT) AS tau FROM (SELECT unnest(['canonical', 'strsub', 'sem_bk']) a), (SELECT unnest([20, 80, 99]) t)")
+@query("task_grid", "SELECT o_orderstatus AS status, o_orderpriority AS priority, l_returnflag AS mode FROM (SELECT DISTINCT o_orderstatus FROM orders), (SELECT DISTINCT o_orderpriority FROM orders), (SELECT DISTINCT l_returnflag FROM lineitem)")
 def task_grid(spark, sf_dir):
-    return R.task_grid(spark, algorithm=["canonical", "strsub", "sem_bk"], tau=[20, 80, 99])
+    o = table(spark, sf_dir, "orders")
+    return R.task_grid(spark, status=o.select("o_orderstatus"), priority=o.select("o_orderpriority"), mode=table(spark, sf_dir, "lineitem").select("l_returnflag"))
 
 
 @query("plan_expansion", "SELECT p_partkey AS task, CAST(r AS BIGINT) AS repetition, CAST(1 AS BIGINT) AS ids FROM part, range(1, 51) x(r) WHERE r <= p_size")
@@ -703,54 +703,4 @@ def plan_expansion(spark, sf_dir):
     return R.expand_plan(plan).groupBy("task", "repetition").agg(F.countDistinct("task_id").alias("ids"))
 
 
-# Files, written in the shared folder and read back.
-
-
-@query("vector_files", "SELECT vec_id AS id, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
-def vector_files(spark, sf_dir):
-    v = vertices(spark, sf_dir)
-    back = read_vectors(spark, write_vectors(v, shared_path(spark, "vectors"), rows=300), v.count())
-    return back.select("id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
-
-
-@query("vector_text_file", "SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))), 6) AS total FROM embeddings")
-def vector_text_file(spark, sf_dir):
-    v = vertices(spark, sf_dir).select("id", F.transform("vec", lambda x: F.round(x.cast("double"), 4)).alias("vec"))
-    path = shared_path(spark, "vector-text")
-    v.select(F.concat(F.lit('"'), "id", F.lit('": '), F.to_json("vec")).alias("value")).write.text(path)
-    return read_vector_text(spark, path).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
-
-
-@query("graph_file", E0["ring"])
-def graph_file(spark, sf_dir):
-    path = shared_path(spark, "graph")
-    T.write_graph(vertices(spark, sf_dir), ring(spark, sf_dir), path)
-    return T.read_graph(spark, path, "FAILFAST")[1]
-
-
-@query("edge_list_file", PARTS)
-def edge_list_file(spark, sf_dir):
-    path, e = shared_path(spark, "edges"), materialise(parts(spark, sf_dir))
-    e.select(F.concat_ws("\t", "v", "u").alias("value")).unionByName(spark.range(1).select(F.lit("# ends").alias("value"))).write.option("compression", "gzip").text(path)
-    return T.read_edges(spark, path)
-
-
-@query("cover_file", ctes("ring", 80) + "SELECT gid AS clique FROM g")
-def cover_file(spark, sf_dir):
-    path = shared_path(spark, "cover")
-    T.write_cover(family_of(spark, sf_dir)[0], path, "size")
-    return T.read_cover(spark, path, "size").select(F.array_join("members", ",").alias("clique"))
-
-
-@query("label_file", "SELECT vec_id AS id, CAST(label AS BIGINT) AS label FROM embeddings")
-def label_file(spark, sf_dir):
-    path = shared_path(spark, "labels")
-    labels(spark, sf_dir).select(F.col("id").alias("vertex"), "label", F.concat(F.lit("class "), "label").alias("name")).write.csv(path, header=True)
-    return T.read_labels(spark, path)
-
-
-@query("triple_file", "WITH t AS (SELECT DISTINCT p_brand h, p_type t FROM part), n AS (SELECT x, row_number() OVER (ORDER BY x) - 1 id FROM (SELECT h x FROM t UNION SELECT t FROM t)) SELECT DISTINCT least(a.id, b.id) AS u, greatest(a.id, b.id) AS v FROM t JOIN n a ON a.x = h JOIN n b ON b.x = t.t WHERE a.id <> b.id")
-def triple_file(spark, sf_dir):
-    path = shared_path(spark, "triples")
-    table(spark, sf_dir, "part").select(F.concat_ws("\t", "p_brand", F.lit("is"), "p_type").alias("value")).write.text(path)
-    return T.triple_graph(T.read_triples(spark, path))[1]
+from . import files  # noqa: E402, F401  (registers its queries)

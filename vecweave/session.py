@@ -38,6 +38,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder, which outlives lost executors."""
     checkpoint_dir(df.sparkSession)

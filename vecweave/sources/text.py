@@ -198,3 +198,84 @@ def write_csr(vertices: DataFrame, edges: DataFrame, path: str) -> None:
                         out.write(block)
     if parts:
         fs.delete_dir(base)
+
+
+def read_csr(spark: SparkSession, path: str, rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(vertices(id), edges(u, v)) of a file that write_csr() wrote, read in ranges of ``rows`` vertices.
+
+    A first pass adds up the degrees of each range, so that the second knows where a range's neighbours begin. Raises where
+    the length of the file doesn't fit its header, or a list isn't that of an undirected graph's vertex (out of range or
+    not rising).
+    """
+    import struct
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ..session import materialise
+    from .vectors import open_fs
+
+    fs, base = open_fs(path)
+    with fs.open_input_file(base) as f:
+        width, n, ends = struct.unpack("<III", f.read(12))
+        if width != 4 or f.size() != 12 + 4 * (n + ends):
+            raise ValueError(f"{path}: {f.size()} bytes don't hold {n} vertices with {ends} neighbours of {width} bytes")
+
+    def numbers(f, at: int, count: int) -> np.ndarray:
+        f.seek(12 + 4 * at)
+        return np.frombuffer(f.read(4 * count), "<u4").astype(np.int64)
+
+    def degrees(batches):
+        fs, base = open_fs(path)
+        for b in batches:
+            with fs.open_input_file(base) as f:
+                sums = [int(numbers(f, k * rows, min(rows, n - k * rows)).sum()) for k in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sums, pa.int64())], ["block", "ends"])
+
+    def lists(batches):
+        fs, base = open_fs(path)
+        for b in batches:
+            with fs.open_input_file(base) as f:
+                for k, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    d = numbers(f, k * rows, min(rows, n - k * rows))
+                    u, v = np.repeat(np.arange(k * rows, k * rows + len(d)), d), numbers(f, n + start, int(d.sum()))
+                    if len(v) and (v.max() >= n or ((np.diff(v) <= 0) & (np.diff(u) == 0)).any()):
+                        raise ValueError(f"{path}: the lists of vertices from {k * rows} aren't those of a graph")
+                    up = u < v
+                    yield pa.RecordBatch.from_arrays([pa.array(u[up]), pa.array(v[up])], ["u", "v"])
+
+    count = -(-n // rows)
+    blocks = spark.range(0, count, 1, max(1, min(count, 4096))).withColumnRenamed("id", "block")
+    sums = materialise(blocks.mapInArrow(degrees, "block long, ends long"))
+    # One row for each range.
+    starts = sums.selectExpr("block", "coalesce(sum(ends) over (order by block rows between unbounded preceding and 1 preceding), 0L) as start")
+    return spark.range(n), starts.repartition(max(1, min(count, 4096)), "block").mapInArrow(lists, "u long, v long")
+
+
+def write_zip(members: DataFrame, path: str) -> None:
+    """Zip archives of members(name, text), one for each task; a name that ends in .gz is packed before it goes in."""
+    import pyarrow as pa
+
+    from ..session import materialise
+    from .vectors import open_out
+
+    def write(batches):
+        import gzip
+        import io
+        import uuid
+        import zipfile
+
+        held, z, n = io.BytesIO(), None, 0
+        for b in batches:
+            z = z or zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED)
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = (text or "").encode()
+                z.writestr(name, gzip.compress(raw) if name.endswith(".gz") else raw)
+                n += 1
+        if z is not None:
+            z.close()
+            with open_out(f"{path}/{uuid.uuid4().hex}.zip") as out:
+                out.write(held.getvalue())
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    materialise(members.select("name", "text").mapInArrow(write, "n long"))
