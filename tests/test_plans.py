@@ -21,7 +21,7 @@ def family(df):
     return sorted((tuple(r.clique), r.size, r.sum_q) for r in df.collect())
 
 
-@pytest.mark.parametrize("tau", [250_000, 600_000, 880_000])
+@pytest.mark.parametrize("tau", [250_000, 700_000])
 def test_plans_agree(spark, tau):
     s = graph(spark, tau)
     want = family(C.msc(s, tau, "layered_canonical"))
