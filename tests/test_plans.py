@@ -36,6 +36,8 @@ def test_counts_of_one_run(spark):
     feasible = C.feasible_sets(s, tau).count()
     assert family(found) == family(C.msc(s, tau, "layered")) and canonical["states"] == feasible
     assert 0 < canonical["looked"] < canonical["tests"] and canonical["terminals"] >= found.count()
+    layered = C.counted(s, tau, "layered_canonical")[1]
+    assert (layered["states"], layered["terminals"]) == (feasible, canonical["terminals"])
     visited = C.counted(s, tau, "visited")[1]
     assert visited["states"] >= feasible and visited["duplicates"] > 0 and visited["terminals"] >= canonical["terminals"]
     shared = C.counted(s, tau, "shared_hosts")[1]

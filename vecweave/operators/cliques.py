@@ -368,15 +368,19 @@ def msc(sims: DataFrame, tau_q: int, algorithm: str = "auto", budget: int = K.BU
     host_canonical: searches inside each structural maximal clique. sem_bk: visits all cliques that its bounds leave. auto:
     by the largest degree and the share of pairs that reach the threshold.
 
-    ``watch`` is an Observation that has what the search counted (kernels.COUNTED) once the result has been computed;
-    with layered plans and strsub's split hosts it isn't filled.
+    ``watch`` is an Observation that has what the search counted (kernels.COUNTED) once the result has been computed; of
+    layered plans states and terminals, and nothing of hosts that strsub splits.
     """
     if algorithm == "auto":
         algorithm = choose(sims, tau_q)
     if algorithm not in ALGORITHMS:
         raise ValueError(f"no algorithm {algorithm}; there are {', '.join(ALGORITHMS)}, auto")
     if algorithm in ("layered", "layered_canonical"):
-        return maximal_only(layers(sims, tau_q, owned=algorithm == "layered_canonical").where("terminal").drop("terminal"))
+        reached = layers(sims, tau_q, owned=algorithm == "layered_canonical")
+        if watch is not None:
+            n = {"states": F.count("*"), "terminals": F.count_if("terminal")}
+            reached = reached.observe(watch, *(n.get(k, F.lit(0).cast("long")).alias(k) for k in K.COUNTED))
+        return maximal_only(reached.where("terminal").drop("terminal"))
     if algorithm in ("strsub", "host_canonical"):
         return maximal_only(from_hosts(structural(sims), sims, tau_q, "subsets" if algorithm == "strsub" else "canonical", budget, watch=watch))
     hosts = materialise(structural(sims)) if algorithm == "shared_hosts" else None
