@@ -52,7 +52,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written as Parquet in the shared folder and read again.
 
-    A stage's folder goes once the next one is written; the last one and the token files are the result and stay.
+    A stage's folder goes once the next one is written; the last one and the token files are the result and stay. A row
+    without a doc_id goes through all stages like any other, by its own text; null and empty texts are copies of each
+    other, of which one stays; rows that repeat as a whole are one document until mixing, where each copy has a place of
+    its own. An empty table gives an empty result.
     """
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
