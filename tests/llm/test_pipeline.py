@@ -105,3 +105,21 @@ def test_run_is_the_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(k)))
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect())) and docs.count() > 0
+
+
+def test_whole_run_without_ids(spark, tmp_path):
+    """A third of the documents have no id: they are judged, kept and mixed like the others."""
+    for name in ("documents", "labels", "benchmark"):
+        d = table(spark, DATA, name)
+        if name == "documents":
+            d = d.selectExpr("if(xxhash64(text) % 3 = 0, null, doc_id) as doc_id", *(c for c in d.columns if c != "doc_id"))
+        d.write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    kept = corpus_pipeline.benchmark_out(spark, corpus_pipeline.near_copies_out(spark, corpus_pipeline.toxic_out(spark, docs, str(tmp_path)), str(tmp_path)), str(tmp_path))
+    n, none = kept.count(), kept.where("doc_id is null").count()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    got = sum(r.doc_id is None for r in rows)
+    assert none > 30 and abs(len(rows) - n) < 4 * n**0.5 and abs(got - none) < 5 * none**0.5
+    by_start = sorted((r.start, r.n_tokens) for r in rows)
+    assert all(a + k == b for (a, k), (b, _) in zip(by_start, by_start[1:], strict=False))
