@@ -12,3 +12,6 @@ def test_from_files_to_sets(spark, tmp_path):
     assert g.audit().first().edges == 6 and g.structural().count() == 2
     assert {tuple(r.clique) for r in g.msc(0.95).collect()} == {(0, 1, 2), (3, 4)}
     assert g.tau(99) > 0.9 and {tuple(r.clique) for r in g.pairsim(0.99).collect()} >= {(3, 4)}
+    found, counts = g.counted(0.95)
+    assert {tuple(r.clique) for r in found.collect()} == {(0, 1, 2), (3, 4)} and counts["states"] > 0
+    assert g.msc(0.95, seconds=300).count() == 2 and max(r.core for r in g.order().collect()) == 2

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.vectors import UNITS
 from .operators import cliques, graph, similarity
-from .session import materialise
+from .session import materialise, within_time
 from .sources import text, vectors
 
 
@@ -39,11 +39,21 @@ class VectorGraph:
         """The edge similarity at a percentile, by floor rank."""
         return similarity.tau_value(self.sim_edges, percentile) / UNITS
 
+    def order(self) -> DataFrame:
+        """Core numbers, and an order with few neighbours ahead of each vertex."""
+        return graph.degeneracy_order(self.edges)
+
     def structural(self) -> DataFrame:
         return cliques.structural(self.sim_edges, self.vertices)
 
     def pairsim(self, tau: float) -> DataFrame:
         return cliques.pairsim_cliques(self.sim_edges, self.vertices, round(tau * UNITS))
 
-    def msc(self, tau: float, algorithm: str = "auto", **options) -> DataFrame:
-        return cliques.msc(self.sim_edges, round(tau * UNITS), algorithm, **options)
+    def msc(self, tau: float, algorithm: str = "auto", seconds: float | None = None, **options) -> DataFrame:
+        """The maximal sets; with ``seconds`` they are whole within that time, or OutOfTime is raised."""
+        find = lambda: cliques.msc(self.sim_edges, round(tau * UNITS), algorithm, **options)
+        return find() if seconds is None else within_time(self.sim_edges.sparkSession, seconds, find)
+
+    def counted(self, tau: float, algorithm: str = "canonical") -> tuple[DataFrame, dict[str, int]]:
+        """The maximal sets and what the search for them counted."""
+        return cliques.counted(self.sim_edges, round(tau * UNITS), algorithm)
