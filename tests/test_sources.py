@@ -136,3 +136,11 @@ def test_dense_vectors(spark):
     rows = [([3, 0, 3],), ([],), (None,), ([4],), ([9, -1, 2],)]
     got = [r.x for r in spark.createDataFrame(rows, "k array<int>").select(one_hot(F.col("k"), 5).alias("x")).collect()]
     assert got == [[1, 0, 0, 1, 0], [0] * 5, [0] * 5, [0, 0, 0, 0, 1], [0, 0, 1, 0, 0]]
+
+
+def test_header_is_in_the_first_file_by_name(spark, tmp_path):
+    """Spark reads the largest file first; the header is in the first one by name."""
+    (tmp_path / "part-00000.txt").write_text("# graph\n9 5\n0 1\n")
+    (tmp_path / "part-00001.txt").write_text("".join(f"{k} {k + 1}\n" for k in range(3, 8)))
+    vertices, edges = text.read_graph(spark, str(tmp_path), "FAILFAST")
+    assert vertices.count() == 9 and sorted(map(tuple, edges.collect())) == [(0, 1), *((k, k + 1) for k in range(3, 8))]

@@ -26,15 +26,18 @@ def read_graph(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> tupl
     Ends outside 0 .. V - 1 are dropped, or raise with FAILFAST. The header's first number is itself no vertex, so the
     header is told from edges by that; loops and repeated edges stay for the audit.
     """
-    lines = _fields(_lines(spark, path))
-    first = lines.limit(1).collect()
-    if not first or len(first[0].f) < 2:
+    # Spark reads the largest files first, so the first line is told by file name, place of the block and row in it.
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    whole = spark.read.text(path).select(F.trim("value").alias("value"), at.alias("at")).where("value <> '' and not startswith(value, '#')")
+    head = whole.agg(F.min_by("value", "at").alias("value")).first().value
+    if head is None or len(head.split()) < 2:
         raise ValueError(f"{path}: no header with the numbers of vertices and edges")
-    n = int(first[0].f[0])
+    n = int(head.split()[0])
+    lines = _fields(_lines(spark, path))
     rows = lines.select("value", _number(F.get("f", 0)).alias("u"), _number(F.get("f", 1)).alias("v"))
     fine = "u between 0 and {0} and v between 0 and {0}".format(n - 1)
     if mode == "FAILFAST":
-        bad = rows.where(f"not coalesce({fine}, false)").where(F.col("value") != first[0].value).limit(1).collect()
+        bad = rows.where(f"not coalesce({fine}, false)").where(F.col("value") != head).limit(1).collect()
         if bad:
             raise ValueError(f"{path}: no edge of {n} vertices: {bad[0].value!r}")
     return spark.range(n), rows.where(fine).select("u", "v")
