@@ -4,6 +4,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from vecweave.operators import cliques as C
 from vecweave.operators import graph as G
@@ -122,3 +123,25 @@ def test_many_vectors_are_not_broadcast(spark):
     s = sim_edges(spark.createDataFrame([(1, 2), (3, 59_999)], "u long, v long"), v)
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and sorted((r.u, r.v, r.sim_q) for r in s.collect()) == [(1, 2, 1_000_000), (3, 59_999, 1_000_000)]
+
+
+@pytest.mark.parametrize("block", [40, 1])
+def test_order_by_blocks_and_by_joins(spark, block):
+    """40: many blocks, whose news cross; 1: vertices have too many neighbours for a block, so rounds are joins."""
+    rng = random.Random(11)
+    pairs = {tuple(sorted(rng.sample(range(-9, 15), 2))) for _ in range(90)}
+    e, cores = edges_of(spark, pairs), plain_cores(pairs)
+    assert ((G.blocks_for(G.both_ways(e), block) or 0) > 3) == (block == 40)
+    order = sorted(G.degeneracy_order(e, 0, block).collect(), key=lambda r: r.position)
+    place = {r.id: r.position for r in order}
+    ahead = {v: sum(place[a if b == v else b] > place[v] for a, b in pairs if v in (a, b)) for v in place}
+    assert {r.id: r.core for r in order} == cores and all(ahead[v] <= cores[v] for v in place)
+    # Layers by peeling each shell as SQL does.
+    left, layers, k = {v: {a if b == v else b for a, b in pairs if v in (a, b) and cores[a if b == v else b] >= cores[v]} for v in place}, {}, 0
+    while left:
+        gone = {v for v, x in left.items() if len(x) <= cores[v]}
+        layers |= dict.fromkeys(gone, k)
+        left, k = {v: {x for x in n if not (x in gone and cores[x] == cores[v])} for v, n in left.items() if v not in gone}, k + 1
+    assert {r.id: r.layer for r in order} == layers and k > 1
+    raw = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(spark.createDataFrame([(3, 3), (None, 4)], "u long, v long"))
+    assert tuple(G.order_audit(raw, spark.range(50), 0, block).first()) == (50, len(pairs), max(cores.values()), max(ahead.values()))
