@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vecweave.operators import cliques as C
 from vecweave.operators import graph as G
 from vecweave.operators import quality as Q
+from vecweave.session import Shelf
 from vecweave.sources.text import write_csr
 
 
@@ -145,3 +146,27 @@ def test_order_by_blocks_and_by_joins(spark, block):
     assert {r.id: r.layer for r in order} == layers and k > 1
     raw = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).unionByName(spark.createDataFrame([(3, 3), (None, 4)], "u long, v long"))
     assert tuple(G.order_audit(raw, spark.range(50), 0, block).first()) == (50, len(pairs), max(cores.values()), max(ahead.values()))
+
+
+def test_audit_by_rounds_reads_its_rows_once(spark):
+    rng = random.Random(12)
+    rows = [tuple(rng.sample(range(-9, 15), 2)) for _ in range(220)] + [(2, 2), (2, 2), (5, 5), (None, 5), (5, None), (None, None)]
+    pairs = {(min(p), max(p)) for p in rows if None not in p and p[0] != p[1]}
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(len(b))
+            yield b
+
+    raw = spark.createDataFrame(rows, "u long, v long").mapInArrow(seen, "u long, v long")
+    r = G.audit(raw, spark.range(30), at_once=1).first()
+    assert reads.value == len(rows)
+    d = {x: sum(x in p for p in pairs) for x in range(-9, 15)}
+    triangles = sum((a, b) in pairs and (b, c) in pairs for a, c in pairs for b in range(a + 1, c))
+    assert (r.vertices, r.input_rows, r.self_loops, r.duplicate_edges, r.edges) == (30, len(rows), 3, len(rows) - 3 - len(pairs), len(pairs))
+    assert (r.max_degree, r.wedges, r.triangles) == (max(d.values()), sum(x * (x - 1) // 2 for x in d.values()), triangles) and triangles > 50
+    with Shelf(spark, "test") as shelf:  # a round for each few bytes
+        e = edges_of(spark, pairs | {(100 + i, 100 + j) for i in range(40) for j in range(i)})
+        assert G.triangle_total(shelf, e, G.degrees(e), 1).first().triangles == triangles + 40 * 39 * 38 // 6
+        assert len(shelf._folders) > 3
